@@ -31,10 +31,11 @@ def ordered_snapshots(manifests: DataFrame, registry: DataFrame) -> DataFrame:
     zones = registry.groupBy("cloud_id").agg(F.max("time_zone").alias("zone"), F.max("date_locale").alias("locale"))
     one = manifests.where(F.col("manifest_id").isNotNull()).groupBy("manifest_id").agg(F.max(F.struct("cloud_id", "ts")).alias("m")).select("manifest_id", "m.*")
     one = normalise_instants(one.join(broadcast_if_small(zones), "cloud_id", "left"), "ts", "zone", "locale", "ts_us")
-    numbered = materialise(number_rows(one, ["cloud_id", "ts_us", "manifest_id"], "snap"), "snapshots")
+    numbered = number_rows(one, ["cloud_id", "ts_us", "manifest_id"], "snap")
     bounds = numbered.groupBy("cloud_id").agg(F.min("snap").alias("first_snap"), F.max("snap").alias("last_snap"))
     bounds = bounds.withColumnRenamed("cloud_id", "__cloud")
-    return numbered.join(broadcast_if_small(bounds), F.col("cloud_id").eqNullSafe(F.col("__cloud"))).drop("__cloud")
+    bounded = numbered.join(broadcast_if_small(bounds), F.col("cloud_id").eqNullSafe(F.col("__cloud"))).drop("__cloud")
+    return materialise(bounded, "snapshots")
 
 
 def normal_path(path: Column) -> Column:
