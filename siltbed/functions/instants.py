@@ -188,4 +188,4 @@ def normalise_instants(rows: DataFrame, raw: str, zone: str, locale: str, out: s
     values = keyed.where(F.col("__raw").isNotNull()).select(F.col("__raw").alias("raw"), F.col("__zone").alias("zone"), F.col("__locale").alias("locale"))
     known = (dictionary or InstantDictionary(rows.sparkSession)).extend(values)
     known = known.select(F.col("raw").alias("__raw"), F.col("zone").alias("__zone"), F.col("locale").alias("__locale"), F.col("utc_us").alias(out))
-    return keyed.join(broadcast_if_small(known, 16 << 20), list(keys), "left").drop(*keys)
+    return keyed.join(broadcast_if_small(known, 2 << 20), list(keys), "left").drop(*keys)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest estimated size of a join side that is broadcast on purpose.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
