@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm import near, seen
-from siltbed.session import materialise, table
+from siltbed.llm import bpe, near, packing, seen
+from siltbed.session import materialise, parallelism, table
 
 
 def _answers(spark: SparkSession, d: str, bits: int = seen.FINGERPRINT_BITS) -> DataFrame:
@@ -29,7 +29,25 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near.earliest_matches(table(spark, d, "intake_files")).select("earlier_id", "intake_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_rate, p5_found)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_texts(table(spark, d, "documents"))
+
+
+def _containers(spark: SparkSession, d: str) -> list[tuple[str, int]]:
+    """The capacities: a fixed handful of rows."""
+    return [(r[0], int(r[1])) for r in table(spark, d, "container_sizes").select("container_kind", "capacity").distinct().orderBy("capacity", "container_kind").collect()]
+
+
+def p9_placed(spark: SparkSession, d: str) -> DataFrame:
+    items = materialise(packing.measured(table(spark, d, "documents")), "measured")
+    return packing.pack(items, _containers(spark, d), max(1, parallelism(spark) // 2))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_rates(p9_placed(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_rate, p5_found, p8_ids, p9_placed, p9_rates)}
 
 ORACLE = {
     "p4_found": """
