@@ -29,6 +29,11 @@ MOST_LABELLED = 6000
 THRESHOLD = 0.5
 NEUTRAL, UNKNOWN, FIRST_WORD = 1, 2, 3
 REMEMBER = 400_000
+#: Windows of harmless documents, and unchosen ones of abusive documents, that a round of training uses: half of them
+#: the highest scored, half drawn at random.
+MOST_WINDOWS = 8000
+#: Windows of random letters among the harmless ones.
+NOISE_WINDOWS = 3000
 
 
 class Model:
@@ -60,6 +65,7 @@ class Scorer:
         #: Row 0 is padding, row 1 the neutral word; the keys are word hashes (0 and 1 stand for these two).
         self.words = pd.Index(np.array([0, 1], np.uint64))
         self.table = self.model.net.vectors(np.array([0, NEUTRAL]), np.zeros(0, np.int64), np.zeros(2, np.int64))
+        self.known = np.zeros(2, bool)
         self.seen, self.scores = pd.Index(np.zeros(0, np.uint64)), np.zeros(0, np.float32)
 
     def _rows(self, words: Words) -> np.ndarray:
@@ -76,6 +82,7 @@ class Scorer:
             row[fresh] = len(self.words) + np.arange(len(fresh))
             self.words = pd.Index(np.concatenate([self.words.to_numpy(), distinct[fresh]]))
             self.table = np.concatenate([self.table, self.model.net.vectors(number[fresh], slots, sizes)])
+            self.known = np.concatenate([self.known, number[fresh] >= FIRST_WORD])
         return row[local]
 
     def score(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -113,6 +120,10 @@ class Scorer:
             rows = np.where(mask, row[np.minimum(start[some][:, None] + np.arange(width), len(row) - 1)], 0)
             distinct, local = np.unique(rows, return_inverse=True)
             out[some] = self.model.net.forward(self.table[distinct], local.reshape(rows.shape), mask)
+            # Among unknown words, as of keys and binary data, a few known ones do not suffice.
+            known = (self.known[rows] & mask).sum(axis=1)
+            unknown = ((rows > 1) & ~self.known[rows] & mask).sum(axis=1)
+            out[some] *= np.where((known > 0) & (unknown <= 2 * known), 1.0, 0.49)
         return out
 
 
@@ -143,7 +154,22 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_LA
     return [r.windows for r in rows], [int(r.share > 0.5) for r in rows]
 
 
-def train(bags: list[list[str]], labels: list[int], seed: int = 3, rounds: int = 4, epochs: int = 5) -> Model:
+def _noise(r: np.random.Generator) -> list[tuple[str, ...]]:
+    """Harmless windows of random letters, Latin and not, as keys, digests and binary rubbish have them."""
+    out = []
+    for _ in range(NOISE_WINDOWS):
+        high = 255 if r.random() < 0.5 else 123
+        longest = int(r.choice([4, 8, 24]))
+        sizes = r.integers(2, longest + 1, int(r.integers(1, WIDTH + 1)))
+        codes = [np.where((c := r.integers(97, high, n)) < 128, 97 + c % 26, c) for n in sizes]
+        words = [bytes(c.astype(np.uint8).tolist()).decode("latin-1") for c in codes]
+        if r.random() < 0.5:  # with code between
+            words = [x for w in words for x in (w, "")]
+        out.append(tuple(words[:WIDTH]))
+    return out
+
+
+def train(bags: list[list[str]], labels: list[int], seed: int = 3, rounds: int = 4, epochs: int = 4) -> Model:
     """Fit the network to documents given as bags of windows. Without documents of both kinds every score is low."""
     positives, negatives = Counter(), Counter()
     for bag, label in zip(bags, labels):
@@ -174,6 +200,8 @@ def train(bags: list[list[str]], labels: list[int], seed: int = 3, rounds: int =
     for bag, label in zip(in_bag, labels):
         for window in bag:
             stats[window][label] += 1
+    for window in _noise(r := np.random.default_rng(seed)):
+        stats[window][0] += 1
     every = sorted(stats)
     index = {w: i for i, w in enumerate(every)}
     counts = np.array([stats[w] for w in every], np.float64).reshape(-1, 2)
@@ -190,8 +218,6 @@ def train(bags: list[list[str]], labels: list[int], seed: int = 3, rounds: int =
     for i, window in enumerate(every):
         grid[i, : len(window)] = [word_row[w] for w in window]
 
-    r = np.random.default_rng(seed)
-
     def prepared(some: np.ndarray, drop: float):
         width = int(lengths[some].max())
         distinct, local = np.unique(grid[some, :width], return_inverse=True)
@@ -201,6 +227,12 @@ def train(bags: list[list[str]], labels: list[int], seed: int = 3, rounds: int =
         picks = slots[np.repeat(row_starts[distinct] - (np.cumsum(take) - take), take) + np.arange(int(take.sum()))]
         return (own, picks, take), local.reshape(len(some), width), np.arange(width)[None, :] < lengths[some][:, None]
 
+    def drawn(some: np.ndarray, by: np.ndarray) -> np.ndarray:
+        if len(some) <= MOST_WINDOWS:
+            return some
+        ranked = some[np.argsort(-by[some], kind="stable")]
+        return np.concatenate([ranked[: MOST_WINDOWS // 2], r.choice(ranked[MOST_WINDOWS // 2 :], MOST_WINDOWS // 2, replace=False)])
+
     def scores() -> np.ndarray:
         out = np.zeros(len(every), np.float32)
         for some in np.array_split(np.argsort(lengths, kind="stable"), max(1, len(every) // 2048)):
@@ -210,7 +242,7 @@ def train(bags: list[list[str]], labels: list[int], seed: int = 3, rounds: int =
         return out
 
     # The first choice: windows whose words lean to abusive documents and that harmless ones hardly have.
-    lean = np.array([sum(max(0.0, min(odds[w], 4.0)) * (positives[w] > 1) for w in window if w) / np.sqrt(len(window)) for window in every])
+    lean = np.array([sum(max(0.0, min(odds.get(w, 0.0), 4.0)) * (positives[w] > 1) for w in window if w) / np.sqrt(len(window)) for window in every])
     rate = (counts[:, 1] + 0.2) / (p + 1) / ((counts[:, 0] + 0.2) / (n + 1))
     quality = np.where(rate > 1.5, lean + 0.3 * np.log(rate), 0.0)
     adam = Adam(net)
@@ -218,13 +250,14 @@ def train(bags: list[list[str]], labels: list[int], seed: int = 3, rounds: int =
         chosen = np.zeros(len(every), bool)
         for bag, label in zip(bags_at, labels):
             if label and len(bag):
-                best = quality[bag].max()
-                chosen[bag[(quality[bag] >= (0.9 * best if turn == 0 else min(best, 0.5))) & (quality[bag] > (0 if turn == 0 else 0.2))]] = True
+                # A document without a telling window is taken for wrongly labelled.
+                chosen[bag[quality[bag] >= (max(0.9 * quality[bag].max(), 2.0) if turn == 0 else 0.5)]] = True
         chosen &= rate > 1.5
         doubtful = ~chosen & (quality > (2.5 if turn == 0 else 0.5)) & (counts[:, 1] > 0)
         harmless = np.flatnonzero(~chosen & ~doubtful & (counts[:, 0] > 0))
         other = np.flatnonzero(~chosen & ~doubtful & (counts[:, 0] == 0))
         good = np.flatnonzero(chosen)
+        harmless, other = drawn(harmless, quality), drawn(other, quality)
         if not len(good):
             break
         use = np.concatenate([good, harmless, other])

@@ -12,6 +12,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
+def sum_rows(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indices and the sums of their rows of ``values``."""
+    if not len(index):
+        return index, values
+    order = np.argsort(index, kind="stable")
+    turned = index[order]
+    first = np.flatnonzero(np.concatenate([[True], turned[1:] != turned[:-1]]))
+    return turned[first], np.add.reduceat(values[order], first, axis=0)
+
+
 def char_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character features of the words end to end, and how many each has: trigrams and 4-grams of the bounded
     word, and its letters without vowels or masked signs."""
@@ -128,7 +138,8 @@ class BiGru:
         flat = rows.T.ravel()
         for d, dx in (("f", dxf), ("b", dxb)):
             per_word = np.zeros((len(table), 3 * HIDDEN), np.float32)
-            np.add.at(per_word, flat, dx.reshape(-1, 3 * HIDDEN))
+            at, sums = sum_rows(flat, dx.reshape(-1, 3 * HIDDEN))
+            per_word[at] = sums
             g[f"X{d}"], g[f"b{d}"] = table.T @ per_word, per_word.sum(axis=0)
             dtable += per_word @ p[f"X{d}"].T
         loss = -float((weight * np.where(target > 0.5, np.log(y + 1e-7), np.log(1 - y + 1e-7))).sum() / weight.sum())
@@ -150,9 +161,7 @@ class Adam:
         for k, p in self.model.p.items():
             if k in "WC":
                 rows, grads = g[k]
-                at, inverse = np.unique(rows, return_inverse=True)
-                grad = np.zeros((len(at), EMBED), np.float32)
-                np.add.at(grad, inverse, grads)
+                at, grad = sum_rows(rows, grads)
                 if k == "W":
                     grad[at < 1] = 0
             else:

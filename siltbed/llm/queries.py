@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm import bpe, near, packing, seen
+from siltbed.llm import abuse, bpe, near, packing, seen
 from siltbed.session import materialise, parallelism, table
 
 
@@ -47,7 +47,24 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_rates(p9_placed(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_rate, p5_found, p8_ids, p9_placed, p9_rates)}
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, abusive ones and their share per source; null sources are one group."""
+    documents = table(spark, d, "documents")
+    scored = abuse.document_scores(documents, abuse.train(*abuse.labelled_sample(documents, table(spark, d, "labels"))))
+    joined = documents.select("doc_id", "source").join(scored, "doc_id")
+    hits = F.sum((F.col("score") >= abuse.THRESHOLD).cast("bigint"))
+    return joined.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), hits.alias("abusive"), (hits / F.count(F.lit(1))).alias("rate"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_rate, p5_found, p8_ids, p9_placed, p9_rates, p10_found, p10_scores, p10_rates)}
 
 ORACLE = {
     "p4_found": """

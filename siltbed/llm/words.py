@@ -86,9 +86,8 @@ class Words:
         letter = kind >= 32
         solid = letter | (kind == DIGIT)
         star = points == 0x2A
-        left = np.concatenate([[False], (solid | star)[:-1]])
-        right = np.concatenate([(solid | star)[1:], [False]])
-        word = solid | ((kind == SIGN) & left & right)
+        sides = lambda mask: np.concatenate([[False], mask[:-1]]) & np.concatenate([mask[1:], [False]])
+        word = solid | ((kind == SIGN) & np.where(star, sides(letter | star), sides(solid | star)))
         case = cases[points]
         hump = np.zeros(n, bool)
         if n > 3:
@@ -125,8 +124,13 @@ class Words:
         chars = letters[at]
         fresh = np.ones(len(chars), bool)
         fresh[1:] = (chars[1:] != chars[:-1]) | (owner[1:] != owner[:-1])
-        self.letters, owner = chars[fresh], owner[fresh]
-        self.sizes = np.bincount(owner, minlength=len(first)).astype(np.int64)
+        chars, owner = chars[fresh], owner[fresh]
+        sizes = np.bincount(owner, minlength=len(first)).astype(np.int64)
+        # Single letters and hexadecimal numbers are no words.
+        begins = starts[first]
+        after = points[np.minimum(begins + 1, max(n - 1, 0))]
+        words = (sizes > 1) & ~((points[begins] == 0x30) & ((after == 0x78) | (after == 0x58)))
+        self.letters, first, self.sizes = chars[words[owner]], first[words], sizes[words]
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.line = line[starts[first]]
         self.text = np.searchsorted(ends, starts[first], side="right") - 1
