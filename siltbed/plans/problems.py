@@ -30,14 +30,13 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return _missing(spark, d).groupBy("ref_table", month.alias("period")).agg(F.count(F.lit(1)).alias("orphans"))
 
 
-def p1_sources(spark: SparkSession, d: str) -> DataFrame:
-    """A composite key with nulls: what devices and names sources give, against the pairs that snapshots know."""
-    registry = table(spark, d, "source_registry").select("source_id", "device_id", F.col("cloud_id").alias("cloud"), "name")
-    manifests = table(spark, d, "manifests").select("device_id", "cloud_id")
-    refs = registry.select("source_id", F.nullif(F.col("name"), F.lit("")).alias("name"), "device_id", F.when(F.col("name").isNotNull(), F.col("cloud")).alias("cloud"))
-    keys = [("device_id", "device_id"), ("cloud", "cloud_id")]
-    found = orphan_references(refs, manifests, keys, "partial")
-    return found.select("source_id", null_mask(["device_id", "cloud"]).alias("mask"))
+def p1_intake(spark: SparkSession, d: str) -> DataFrame:
+    """A composite key with nulls: files of the intake against stored entries of the same content and size; either may
+    be null and then matches anything. Counted per null mask."""
+    intake = table(spark, d, "intake_files").select("intake_id", "content_hash", "size")
+    stored = table(spark, d, "manifest_files").select(F.nullif("content_hash", F.lit("")).alias("content_hash"), F.nullif("size", F.lit(0)).alias("size"))
+    found = orphan_references(intake, stored, [("content_hash", "content_hash"), ("size", "size")], "partial")
+    return found.groupBy(null_mask(["content_hash", "size"]).alias("mask")).agg(F.count(F.lit(1)).alias("orphans"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +78,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return known.select("record_table", "record_id", "utc_us").dropDuplicates(["record_table", "record_id"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sources, p2_found, p2_gaps, p3_found, p6_found, p6_report, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_intake, p2_found, p2_gaps, p3_found, p6_found, p6_report, p7_found)}
 
 _REFS = """
 WITH refs AS (
@@ -102,9 +101,11 @@ WITH refs AS (
 ORACLE = {
     "p1_found": _REFS + "SELECT ref_table, ref_id FROM missing",
     "p1_report": _REFS + "SELECT ref_table, strftime(received_at, '%Y-%m') AS period, count(*) AS orphans FROM missing GROUP BY ALL",
-    "p1_sources": """
-SELECT source_id, 'v' || CASE WHEN name IS NULL OR name = '' THEN 'n' ELSE 'v' END AS mask FROM source_registry s
-WHERE NOT EXISTS (SELECT 1 FROM manifests m WHERE m.device_id = s.device_id AND (s.name IS NULL OR s.name = '' OR m.cloud_id = s.cloud_id))""",
+    "p1_intake": """
+WITH t AS (SELECT DISTINCT nullif(content_hash, '') AS h, nullif(size, 0) AS z FROM manifest_files)
+SELECT CASE WHEN content_hash IS NULL THEN 'n' ELSE 'v' END || CASE WHEN size IS NULL THEN 'n' ELSE 'v' END AS mask, count(*) AS orphans FROM intake_files
+WHERE CASE WHEN content_hash IS NULL AND size IS NULL THEN false WHEN content_hash IS NULL THEN size NOT IN (SELECT z FROM t WHERE z IS NOT NULL)
+WHEN size IS NULL THEN content_hash NOT IN (SELECT h FROM t WHERE h IS NOT NULL) ELSE (content_hash, size) NOT IN (SELECT (h, z) FROM t WHERE h IS NOT NULL AND z IS NOT NULL) END GROUP BY 1""",
     "p2_gaps": """
 WITH seen AS (SELECT s.cloud_id, s.rev, bool_or(coalesce(s.arrived_at <= r.reach, false)) AS done FROM files_scan s
   LEFT JOIN (SELECT cloud_id, max(cutoff_at) AS reach FROM scan_runs WHERE outcome = 'ok' GROUP BY 1) r USING (cloud_id) GROUP BY 1, 2)
