@@ -85,6 +85,12 @@ def measured(documents: DataFrame, folder: str = TOKENIZERS, name: str = NAME) -
     return documents.select("doc_id", "text").mapInArrow(work, "doc_id bigint, tokens bigint, curve bigint").where("tokens > 0")
 
 
+def partitions_for(items: int, most: int) -> int:
+    """Stretches of the curve that are packed apart: long ones, for each leaves some containers partly empty, and at
+    most as many as the cluster shuffles into."""
+    return max(1, min(most, items // (4 * WINDOW)))
+
+
 class Packer:
     """Open containers of one capacity, found by their room: bit r of ``rooms`` tells that one with room r is open."""
 

@@ -11,8 +11,10 @@ from siltbed.session import materialise, parallelism, table
 
 def _answers(spark: SparkSession, d: str, bits: int = seen.FINGERPRINT_BITS) -> DataFrame:
     keys, expected = seen.list_keys(table(spark, d, "alive_index"), "hashes")
+    blobs = table(spark, d, "blobs")
+    expected = max(expected, blobs.count())
     store = materialise(seen.build_store(keys, "key", expected, bits), "seen-store")
-    return seen.probe_store(store, table(spark, d, "blobs"), "hash", "put_id", expected, bits)
+    return seen.probe_store(store, blobs, "hash", "put_id", expected, bits)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +42,7 @@ def _containers(spark: SparkSession, d: str) -> list[tuple[str, int]]:
 
 def p9_placed(spark: SparkSession, d: str) -> DataFrame:
     items = materialise(packing.measured(table(spark, d, "documents")), "measured")
-    return packing.pack(items, _containers(spark, d), max(1, parallelism(spark) // 2))
+    return packing.pack(items, _containers(spark, d), packing.partitions_for(items.count(), parallelism(spark)))
 
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
