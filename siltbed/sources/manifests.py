@@ -185,14 +185,19 @@ def expired(listing: DataFrame, now: int, max_age: int) -> DataFrame:
     return listing.where(F.lit(now) - F.col("mod_time") > max_age)
 
 
-def delete_manifest(meta: str, cloud_id: str, timestamp: str, device: str) -> bool:
-    """Remove the first manifest with this timestamp and device, by its content, and its sidecar."""
+def delete_manifest(meta: str, cloud_id: str, timestamp: str, device: str, unseal=None) -> bool:
+    """Remove the first manifest with this timestamp and device, by its content, and its sidecar. Unreadable ones are
+    passed over."""
     zstd = codec("zstd", 3, MANIFEST_LIMIT)
     for path in sorted(Path(manifest_dir(meta, cloud_id)).glob("*.json*")):
         if path.name.endswith(".sha256"):
             continue
         data = path.read_bytes()
-        document = json.loads(zstd.decompress(data) if zstd.recognises(data) else data)
+        try:
+            data = unseal(data) if unseal and data[:4] == b"GKM1" else data
+            document = json.loads(zstd.decompress(data) if zstd.recognises(data) else data)
+        except ValueError:
+            continue
         if document.get("timestamp") == timestamp and document.get("deviceId") == device:
             path.unlink()
             path.with_name(path.name + ".sha256").unlink(missing_ok=True)
