@@ -84,6 +84,10 @@ def _constant_map(values: dict, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), f"map<string,{kind}>")
 
 
+def _quoted(names: tuple[str, ...]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
 def month_first(locale: Column) -> Column:
     parts = F.split(F.coalesce(locale, F.lit("")), "[-_]")
     return F.coalesce(F.upper(F.try_element_at(parts, F.lit(-1))).isin(*MONTH_FIRST_REGIONS) | F.lower(parts[0]).isin(*YEAR_FIRST_LANGUAGES), F.lit(False))
@@ -130,7 +134,7 @@ def with_instant(df: DataFrame, raw: str, zone: str, locale: str, out: str) -> D
         "__i_offset": F.when(F.upper(shown) == "Z", 0).when(shown.rlike(offset_form), F.when((hours <= 18) & (minutes < 60), (hours * 60 + minutes) * sign))
         .when(shown.rlike("^[A-Za-z]+$"), F.coalesce(F.try_element_at(shift, F.concat(own, F.lit("|"), F.upper(shown))), F.try_element_at(shift, F.concat(F.lit("|"), F.upper(shown))))),
     })
-    df = df.withColumn("__i_wall", F.when(F.col("__i_wall").isin(*zone_names()), F.col("__i_wall")))
+    df = df.withColumn("__i_wall", F.when(F.expr(f"__i_wall IN ({_quoted(zone_names())})"), F.col("__i_wall")))
     df = df.withColumn("__i_utc", F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), F.col("__i_wall"))))
     back = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(F.col("__i_utc")), F.col("__i_wall")))
     calendar = F.when(F.col("__i_offset").isNotNull(), local - F.col("__i_offset").cast("bigint") * 1_000_000).when(back == local, F.col("__i_utc"))
