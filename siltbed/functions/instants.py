@@ -178,18 +178,23 @@ class InstantDictionary:
         return self._stored()
 
 
-def normalise_instants(rows: DataFrame, raw: str, zone: str, locale: str, out: str = "utc_us", dictionary: InstantDictionary | None = None) -> DataFrame:
-    """``rows`` with column ``out``: the instant of ``raw`` in UTC microseconds, by way of the dictionary.
+def normalise_instants(rows: DataFrame, raw: str | list[str], zone: str, locale: str, out: str | list[str] = "utc_us", dictionary: InstantDictionary | None = None) -> DataFrame:
+    """``rows`` with column ``out``: the instant of ``raw`` in UTC microseconds, by way of the dictionary. Several raw
+    columns, with as many out, share one dictionary.
 
     Values without a digit tell no instant and never reach the dictionary, so that a hot '', 'null' or 'n/a' moves
     nowhere. The dictionary holds one row per distinct value; it is joined by broadcast below the checked size and
-    by a shuffle beyond, where adaptive execution splits hot values on the side of the rows.
+    by a shuffle beyond, where adaptive execution splits hot values on the side of the rows. ``rows`` is evaluated
+    twice: materialise it first where that is dear.
     A column of ``rows`` named ``out`` is replaced; all others stay. Empty input gives an empty result.
     """
-    rows = rows.drop(out)
-    keys = {"__raw": F.when(F.col(raw).rlike("[0-9]"), F.col(raw)), "__zone": F.coalesce(F.col(zone), F.lit("UTC")), "__locale": F.coalesce(F.col(locale), F.lit(""))}
-    keyed = rows.withColumns(keys)
-    values = keyed.where(F.col("__raw").isNotNull()).select(F.col("__raw").alias("raw"), F.col("__zone").alias("zone"), F.col("__locale").alias("locale"))
-    known = (dictionary or InstantDictionary(rows.sparkSession)).extend(values)
-    known = known.select(F.col("raw").alias("__raw"), F.col("zone").alias("__zone"), F.col("locale").alias("__locale"), F.col("utc_us").alias(out))
-    return keyed.join(broadcast_if_small(known, 2 << 20), list(keys), "left").drop(*keys)
+    raws, outs = ([raw], [out]) if isinstance(raw, str) else (raw, out)
+    rows = rows.drop(*outs)
+    own = {"__zone": F.coalesce(F.col(zone), F.lit("UTC")), "__locale": F.coalesce(F.col(locale), F.lit(""))}
+    keyed = rows.withColumns(own | {f"__raw{i}": F.when(F.col(r).rlike("[0-9]"), F.col(r)) for i, r in enumerate(raws)})
+    values = keyed.select(F.explode(F.array(*[f"__raw{i}" for i in range(len(raws))])).alias("raw"), F.col("__zone").alias("zone"), F.col("__locale").alias("locale"))
+    known = (dictionary or InstantDictionary(rows.sparkSession)).extend(values.where("raw is not null"))
+    for i, column in enumerate(outs):
+        entry = known.select(F.col("raw").alias(f"__raw{i}"), F.col("zone").alias("__zone"), F.col("locale").alias("__locale"), F.col("utc_us").alias(column))
+        keyed = keyed.join(broadcast_if_small(entry, 2 << 20), [f"__raw{i}", "__zone", "__locale"], "left")
+    return keyed.drop(*own, *[f"__raw{i}" for i in range(len(raws))])

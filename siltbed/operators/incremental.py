@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltbed.functions.instants import normalise_instants
 from siltbed.operators.intervals import rows_in, subtract_intervals, to_intervals
-from siltbed.session import broadcast_if_small
+from siltbed.session import broadcast_if_small, materialise
 
 LEFT_OUT = ("locked", "error")
 
@@ -43,14 +43,14 @@ def pending_files(scan: DataFrame, runs: DataFrame, registry: DataFrame) -> Data
     files = flagged.groupBy("cloud_id", "rel_path").agg(
         F.max("in_gap").alias("touched"), F.max(seen).alias("now"), F.max(F.when(~F.col("in_gap"), seen)).alias("before")
     )
-    files = files.where("touched").select(
+    files = materialise(files.where("touched").select(
         "cloud_id", "rel_path", F.col("before").isNull().alias("new"),
         (~F.col("now.size").eqNullSafe(F.col("before.size"))).alias("resized"),
         F.col("now.mtime").alias("mtime_now"), F.col("before.mtime").alias("mtime_before"),
-    )
+    ), "pending")
     plain = F.col("new") | F.col("resized")
     zones = registry.groupBy("cloud_id").agg(F.max("time_zone").alias("zone"), F.max("date_locale").alias("locale"))
     doubt = files.where(~plain & ~F.col("mtime_now").eqNullSafe(F.col("mtime_before"))).join(broadcast_if_small(zones), "cloud_id", "left")
-    doubt = normalise_instants(normalise_instants(doubt, "mtime_now", "zone", "locale", "us_now"), "mtime_before", "zone", "locale", "us_before")
+    doubt = normalise_instants(doubt, ["mtime_now", "mtime_before"], "zone", "locale", ["us_now", "us_before"])
     moved = doubt.where(~F.col("us_now").eqNullSafe(F.col("us_before")))
     return files.where(plain).select("cloud_id", "rel_path").unionByName(moved.select("cloud_id", "rel_path"))
