@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siltbed.functions.instants import normalise_instants
 from siltbed.operators.snapshots import entries_of, states_of
-from siltbed.session import broadcast_if_small, parallelism
+from siltbed.session import broadcast_if_small, materialise, parallelism
 
 
 def attribute_log(states: DataFrame, key: list[str], at: str, attributes: list[str], carry: list[str] = ()) -> DataFrame:
@@ -55,7 +55,7 @@ def file_versions(files: DataFrame, snapshots: DataFrame) -> DataFrame:
     entries = entries_of(files, snapshots)
     entries = entries.repartition(parallelism(entries.sparkSession), "cloud_id", "path")
     key, carry = ["cloud_id", "path"], ["last_snap", "zone", "locale"]
-    log = attribute_log(states_of(entries), key, "snap", ["content_hash", "mtime"], carry)
+    log = materialise(attribute_log(states_of(entries), key, "snap", ["content_hash", "mtime"], carry), "change-log")
     times = normalise_instants(log.where("attribute = 'mtime'"), "value", "zone", "locale", "__us")
     log = log.where("attribute <> 'mtime'").unionByName(times.withColumn("value", F.col("__us").cast("string")).drop("__us"))
     versions = combine_logs(log, key, ["content_hash", "mtime"], carry)
