@@ -127,7 +127,7 @@ def probe_store(store: DataFrame, batch: DataFrame, key: str, order: str, expect
                 coded = EliasFano.encode(_fingerprints(stored, digits, bits), width)
         return pa.table({"key": new.column("key"), "first_put": first, "puts": new.column("puts"), "in_store": exact, "by_fingerprint": by_print})
 
-    each = valid(batch, key).groupBy(F.unhex(key).alias("key")).agg(F.min(order).alias("first_put"), F.count(F.lit(1)).alias("puts"))
+    each = valid(batch, key).groupBy(F.unhex(key).alias("key")).agg(F.min(F.col(order).cast("bigint")).alias("first_put"), F.count(F.lit(1)).alias("puts"))
     each = each.withColumn("part", F.lower(F.substring(F.hex("key"), 1, digits)))
     return store.groupBy("part").cogroup(each.groupBy("part")).applyInArrow(answer, ANSWERS)
 

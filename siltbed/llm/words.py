@@ -86,12 +86,12 @@ class Words:
         letter = kind >= 32
         solid = letter | (kind == DIGIT)
         star = points == 0x2A
-        sides = lambda mask: np.concatenate([[False], mask[:-1]]) & np.concatenate([mask[1:], [False]])
+        sides = lambda mask: np.concatenate([[False], mask[:-1]]) & np.concatenate([mask[1:], [False]]) & ~edge[:n] & ~edge[1 : n + 1]
         word = solid | ((kind == SIGN) & np.where(star, sides(letter | star), sides(solid | star)))
         case = cases[points]
         hump = np.zeros(n, bool)
         if n > 3:
-            hump[1:-2] = (case[1:-2] == 1) & (case[:-3] != 0) & (case[2:-1] == 2) & (case[3:] == 2)
+            hump[1:-2] = (case[1:-2] == 1) & (case[:-3] != 0) & (case[2:-1] == 2) & (case[3:] == 2) & ~edge[2 : n - 1] & ~edge[3:n]
         begin = word & (np.concatenate([[True], ~word[:-1]]) | edge[:n] | hump)
         starts = np.flatnonzero(begin)
         stop = word & (np.concatenate([~word[1:], [True]]) | np.concatenate([begin[1:], [True]]) | edge[1 : n + 1])
@@ -113,6 +113,9 @@ class Words:
         single = stops - starts == 1
         near = np.zeros(len(starts) + 1, bool)
         near[1:-1] = single[1:] & single[:-1] & (starts[1:] - stops[:-1] == 1) & (line[starts[1:]] == line[starts[:-1]])
+        # Another sign between ends the word: t-h-e-y r u n.
+        apart = points[np.minimum(stops[:-1], max(n - 1, 0))]
+        near[2:-1] &= ~(near[1:-2] & (apart[1:] != apart[:-1]))
         joined = near[:-1].copy()
         long_run = near[:-1] & (near[1:] | np.concatenate([[False], near[:-2]]))
         joined = joined & (long_run | np.concatenate([long_run[1:], [False]]) | np.concatenate([[False], long_run[:-1]]))
