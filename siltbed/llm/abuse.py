@@ -264,9 +264,9 @@ def train(bags: list[list[str]], labels: list[int], seed: int = 3, rounds: int =
         weight = np.concatenate([np.sqrt(counts[good, 1]) * 2, np.minimum(3, np.sqrt(counts[harmless, 0])), np.full(len(other), 0.5)])
         target = np.concatenate([np.ones(len(good)), np.zeros(len(use) - len(good))])
         for epoch in range(epochs):
-            adam.rate = 0.01 * (0.5 if turn == rounds - 1 and epoch >= epochs // 2 else 1)
+            adam.rate = 0.015 * (0.5 if turn == rounds - 1 and epoch >= epochs // 2 else 1)
             turn_order = np.argsort(lengths[use] + r.random(len(use)) * 1.5, kind="stable")
-            slices = np.array_split(turn_order, max(1, len(use) // 192))
+            slices = np.array_split(turn_order, max(1, len(use) // 384))
             for k in r.permutation(len(slices)):
                 some = slices[k]
                 _, g = net.gradients(*prepared(use[some], 0.25), target[some], weight[some])
