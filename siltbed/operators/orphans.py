@@ -84,27 +84,23 @@ def _anti_join(refs: DataFrame, targets: DataFrame, keys, as_of, valid_from, rem
 
 
 def store_references(entries: DataFrame, chunks: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Every reference of the store to a blob: ref_table, ref_id, hash (null for an empty one), received_at,
-    received_us. An entry with chunk rows refers by these, any other by its content hash; one full outer join on the
-    entry gives both. Chunk rows of an unknown entry keep a null received_at."""
+    """Every reference of the store to a blob: ref_table, ref_id, hash (null for an empty one), received_at. An entry
+    with chunk rows refers by these, any other by its content hash. Chunk rows of an unknown entry keep a null
+    received_at. Entries are reduced to one row each; their chunks are the streamed side of the join, so that one file
+    may hold any share of them."""
     when = manifests.groupBy("manifest_id").agg(F.min("received_at").alias("received_at"))
-    entry = entries.select("entry_id", "manifest_id", F.col("content_hash").alias("entry_hash")).join(broadcast_if_small(when), "manifest_id", "left").drop("manifest_id")
-    entry = entry.withColumn("is_entry", F.lit(True))
-    chunk = chunks.select("entry_id", "ref_id", F.col("hash").alias("chunk_hash"), F.lit(True).alias("is_chunk"))
-    both = entry.join(chunk, "entry_id", "full")
-    whole = F.col("is_chunk").isNull()
-    return both.select(
-        F.when(whole, "manifest_files").otherwise("file_chunks").alias("ref_table"),
-        F.when(whole, F.col("entry_id")).otherwise(F.col("ref_id")).alias("ref_id"),
-        F.nullif(F.when(whole, F.col("entry_hash")).otherwise(F.col("chunk_hash")), F.lit("")).alias("hash"),
-        "received_at",
-        F.unix_micros(F.col("received_at").cast("timestamp")).alias("received_us"),
-    )
+    entry = entries.where(F.col("entry_id").isNotNull()).select("entry_id", "manifest_id", F.col("content_hash").alias("hash"))
+    entry = entry.join(broadcast_if_small(when), "manifest_id", "left").groupBy("entry_id").agg(F.max("hash").alias("hash"), F.min("received_at").alias("received_at"))
+    of_chunks = chunks.select("entry_id", "ref_id", "hash").join(entry.select("entry_id", "received_at"), "entry_id", "left")
+    whole = entry.join(chunks.select("entry_id").distinct(), "entry_id", "left_anti")
+    row = lambda name, key: [F.lit(name).alias("ref_table"), F.col(key).alias("ref_id"), F.nullif("hash", F.lit("")).alias("hash"), "received_at"]
+    return of_chunks.select(*row("file_chunks", "ref_id")).unionByName(whole.select(*row("manifest_files", "entry_id")))
 
 
 def missing_blobs(entries: DataFrame, chunks: DataFrame, manifests: DataFrame, blobs: DataFrame) -> DataFrame:
     """References whose blob is missing, removed, or stored only after the manifest came in; each once."""
     refs = store_references(entries, chunks, manifests)
-    stored = blobs.select("hash", (F.col("mod_time") * 1_000_000).alias("mod_us"), "removed_at")
-    found = orphan_references(refs, stored, [("hash", "hash")], "simple", as_of="received_us", valid_from="mod_us", removed_at="removed_at")
+    # Seconds since 1970 as a time without zone, like received_at, whatever the session's zone is.
+    stored = blobs.select("hash", F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, mod_time)").alias("mod_at"), "removed_at")
+    found = orphan_references(refs, stored, [("hash", "hash")], "simple", as_of="received_at", valid_from="mod_at", removed_at="removed_at")
     return found.groupBy("ref_table", "ref_id").agg(F.min("received_at").alias("received_at"))

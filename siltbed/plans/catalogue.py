@@ -384,7 +384,7 @@ _NAMES = "names AS (SELECT user_id, epoch(date_trunc('second', ts))::BIGINT::VAR
 
 
 def _names(spark, d):
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    seconds = F.unix_date(F.to_date("ts")).cast("bigint") * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
     return table(spark, d, "events").select("user_id", F.concat(seconds.cast("string"), F.lit("_d"), (F.col("event_id") % 3).cast("string"), F.lit(".json.zst")).alias("file_name"))
 
 
