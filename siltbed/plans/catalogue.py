@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltbed.functions import codecs, frames
-from siltbed.functions.paths import DENSE_EXTENSIONS, cloud_key, is_cloud_id, is_dense, is_hash, safe_relative, toggle_leading_dot
+from siltbed.functions.paths import DENSE_EXTENSIONS, ancestors, cloud_key, is_cloud_id, is_dense, is_hash, safe_relative, toggle_leading_dot
 from siltbed.operators import chunking, predicates, snapshot, store
 from siltbed.operators.snapshots import normal_path
 from siltbed.session import broadcast_if_small, scratch_path, table
@@ -185,12 +185,16 @@ def source_total_size(spark, d):
     return rows.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
-@query(r"""WITH e AS (SELECT DISTINCT cloud_id, rel_path, is_dir FROM files_scan), d AS (SELECT DISTINCT cloud_id, rel_path FROM e WHERE is_dir)
-SELECT cloud_id, rel_path AS dir FROM d WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.cloud_id = d.cloud_id AND starts_with(e.rel_path, d.rel_path || '/'))""")
+@query(f"""WITH RECURSIVE {_PATHS}, up(dir) AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) FROM paths UNION SELECT regexp_extract(dir, '^(.*)/[^/]*$', 1) FROM up WHERE dir <> ''),
+kept(dir) AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) FROM paths WHERE NOT regexp_matches(path, '\\.(pdf|jpg|md|go|tar)$') UNION SELECT regexp_extract(dir, '^(.*)/[^/]*$', 1) FROM kept WHERE dir <> ''),
+parents AS (SELECT regexp_extract(dir, '^(.*)/[^/]*$', 1) AS dir FROM up WHERE dir <> '')
+SELECT dir FROM up WHERE dir <> '' AND dir NOT IN (SELECT dir FROM kept) AND dir NOT IN (SELECT dir FROM parents)""")
 def empty_dirs(spark, d):
-    scan = table(spark, d, "files_scan").select(F.concat_ws("/", "cloud_id", "rel_path").alias("rel_path"), "is_dir")
-    dirs = snapshot.empty_directories(scan)
-    return dirs.select(F.substring_index("dir", "/", 1).alias("cloud_id"), F.regexp_extract("dir", "^[^/]*/(.*)$", 1).alias("dir"))
+    """Directories of all paths that an exclusion leaves without a file; a kept child directory keeps its parent."""
+    paths = _paths(spark, d)
+    dirs = paths.select(F.explode(ancestors(F.col("path"))).alias("rel_path"), F.lit(True).alias("is_dir")).where("rel_path <> ''")
+    kept = paths.where(~predicates.is_excluded(F.col("path"), ["*.pdf", "*.jpg", "*.md", "*.go", "*.tar"])).select(F.col("path").alias("rel_path"), F.lit(False).alias("is_dir"))
+    return snapshot.empty_directories(dirs.unionByName(kept))
 
 
 @query(f"""WITH RECURSIVE {_PATHS}, up(dir) AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) FROM paths UNION SELECT regexp_extract(dir, '^(.*)/[^/]*$', 1) FROM up WHERE dir <> ''),
