@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from siltbed.functions import frames, keys
 from siltbed.operators.chunking import CHUNK_BYTES, POLYNOMIAL
 
-# Names that mark the block format in a configuration.
-FORMATS = ("gbf", "gb")
-DEFAULTS = {"format": "gbf", "version": 2, "chunkSize": CHUNK_BYTES, "compression": "zstd", "encrypted": False, "cdcPolynomial": 0}
+#: Names that mark the block format in a configuration; other writers' names can be given to detect().
+FORMATS = ("blocks",)
+DEFAULTS = {"format": "blocks", "version": 2, "chunkSize": CHUNK_BYTES, "compression": "zstd", "encrypted": False, "cdcPolynomial": 0}
 
 
 def config_path(root: str) -> Path:
@@ -45,12 +45,12 @@ def init(root: str, **settings) -> dict:
     return config
 
 
-def detect(root: str) -> str:
+def detect(root: str, formats: tuple[str, ...] = FORMATS) -> str:
     """'blocks' where the configuration names the format or there are manifests, 'unknown' without a configuration."""
     if not config_path(root).exists():
         return "unknown"
     manifests = Path(root) / "manifests"
-    return "blocks" if load_config(root).get("format") in FORMATS or (manifests.is_dir() and any(manifests.iterdir())) else "other"
+    return "blocks" if load_config(root).get("format") in formats or (manifests.is_dir() and any(manifests.iterdir())) else "other"
 
 
 def polynomial(root: str) -> int:
