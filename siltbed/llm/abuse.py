@@ -253,7 +253,8 @@ def train(bags: list[list[str]], labels: list[int], seed: int = 3, rounds: int =
                 # A document without a telling window is taken for wrongly labelled.
                 chosen[bag[quality[bag] >= (max(0.9 * quality[bag].max(), 2.0) if turn == 0 else 0.5)]] = True
         chosen &= rate > 1.5
-        doubtful = ~chosen & (quality > (2.5 if turn == 0 else 0.5)) & (counts[:, 1] > 0)
+        # Neither taken for abusive nor for harmless: only what harmless documents hardly have.
+        doubtful = ~chosen & (rate > 1.5) & (quality > (2.5 if turn == 0 else 0.5)) & (counts[:, 1] > 0)
         harmless = np.flatnonzero(~chosen & ~doubtful & (counts[:, 0] > 0))
         other = np.flatnonzero(~chosen & ~doubtful & (counts[:, 0] == 0))
         good = np.flatnonzero(chosen)
