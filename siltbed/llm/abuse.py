@@ -32,6 +32,8 @@ REMEMBER = 400_000
 #: Windows of harmless documents, and unchosen ones of abusive documents, that a round of training uses: half of them
 #: the highest scored, half drawn at random.
 MOST_WINDOWS = 8000
+#: How many times as often abusive documents must have a window as harmless ones before it can be a telling one.
+TELLING = 4.0
 #: Windows of random letters among the harmless ones.
 NOISE_WINDOWS = 3000
 
@@ -244,7 +246,7 @@ def train(bags: list[list[str]], labels: list[int], seed: int = 3, rounds: int =
     # The first choice: windows whose words lean to abusive documents and that harmless ones hardly have.
     lean = np.array([sum(max(0.0, min(odds.get(w, 0.0), 4.0)) * (positives[w] > 1) for w in window if w) / np.sqrt(len(window)) for window in every])
     rate = (counts[:, 1] + 0.2) / (p + 1) / ((counts[:, 0] + 0.2) / (n + 1))
-    quality = np.where(rate > 1.5, lean + 0.3 * np.log(rate), 0.0)
+    quality = np.where(rate > TELLING, lean + 0.3 * np.log(rate), 0.0)
     adam = Adam(net)
     for turn in range(rounds):
         chosen = np.zeros(len(every), bool)
@@ -252,9 +254,9 @@ def train(bags: list[list[str]], labels: list[int], seed: int = 3, rounds: int =
             if label and len(bag):
                 # A document without a telling window is taken for wrongly labelled.
                 chosen[bag[quality[bag] >= (max(0.9 * quality[bag].max(), 2.0) if turn == 0 else 0.5)]] = True
-        chosen &= rate > 1.5
+        chosen &= rate > TELLING
         # Neither taken for abusive nor for harmless: only what harmless documents hardly have.
-        doubtful = ~chosen & (rate > 1.5) & (quality > (2.5 if turn == 0 else 0.5)) & (counts[:, 1] > 0)
+        doubtful = ~chosen & (rate > TELLING) & (quality > (2.5 if turn == 0 else 0.5)) & (counts[:, 1] > 0)
         harmless = np.flatnonzero(~chosen & ~doubtful & (counts[:, 0] > 0))
         other = np.flatnonzero(~chosen & ~doubtful & (counts[:, 0] == 0))
         good = np.flatnonzero(chosen)
