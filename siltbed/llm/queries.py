@@ -22,8 +22,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_rate(spark: SparkSession, d: str) -> DataFrame:
-    """The rate of wrong answers of the fingerprints alone, at three widths."""
-    rates = [seen.wrong_rate(_answers(spark, d, bits)).withColumn("bits", F.lit(bits)) for bits in (24, 32, seen.FINGERPRINT_BITS)]
+    """The rate of wrong answers of the fingerprints alone, at three widths: against the store and against all keys with
+    a smaller put_id."""
+    rates = [seen.wrong_rate(_answers(spark, d, bits), earlier=True).withColumn("bits", F.lit(bits)) for bits in (24, 32, seen.FINGERPRINT_BITS)]
     return rates[0].unionByName(rates[1]).unionByName(rates[2])
 
 

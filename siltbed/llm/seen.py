@@ -25,7 +25,7 @@ PARTITION_KEYS = 250_000
 BATCH_KEYS = 1 << 16
 
 STORE = "part string, n bigint, low_bits int, highs binary, lows binary, rest binary"
-ANSWERS = "key binary, first_put bigint, puts bigint, in_store boolean, by_fingerprint boolean"
+ANSWERS = "key binary, first_put bigint, puts bigint, in_store boolean, by_fingerprint boolean, by_earlier boolean"
 
 
 def valid(keys: DataFrame, key: str) -> DataFrame:
@@ -99,12 +99,21 @@ def _probe(coded: EliasFano, stored: np.ndarray, keys: np.ndarray, prints: np.nd
     return by_print, exact
 
 
+def _repeated(prints: np.ndarray) -> np.ndarray:
+    """Which values stand at an earlier place already."""
+    out = np.zeros(len(prints), bool)
+    order = np.argsort(prints, kind="stable")
+    out[order[1:]] = prints[order[1:]] == prints[order[:-1]]
+    return out
+
+
 def probe_store(store: DataFrame, batch: DataFrame, key: str, order: str, expected: int, bits: int = FINGERPRINT_BITS) -> DataFrame:
-    """For each distinct valid key of ``batch``: its first ``order`` value, how often it comes, and whether the store
-    held it before (exactly, and by fingerprint alone).
+    """For each distinct valid key of ``batch``: its first ``order`` value, how often it comes, whether the store held it
+    before (exactly, and by fingerprint alone), and whether an earlier key of the batch has its fingerprint.
 
-    Each partition takes its new keys in ``order``, ``BATCH_KEYS`` at a time, and merges each portion into its sorted
-    code before the next, so later portions are probed against all earlier ones.
+    Each partition takes its new keys in ``order``, ``BATCH_KEYS`` at a time. A portion is probed against the store and
+    against the code of the batch's own keys, compared with itself, and merged into that code before the next; so each
+    key meets all earlier ones, however the portions are cut.
     """
     digits = partition_digits(expected)
     width = bits - 4 * digits
@@ -117,15 +126,18 @@ def probe_store(store: DataFrame, batch: DataFrame, key: str, order: str, expect
         else:
             coded, stored = EliasFano.encode(np.zeros(0, np.uint64), width), np.zeros((0, 32), np.uint8)
         turn = np.argsort(first, kind="stable")
-        by_print, exact = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        by_print, exact, by_earlier = np.zeros(len(keys), bool), np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        own_code, own = EliasFano.encode(np.zeros(0, np.uint64), width), np.zeros((0, 32), np.uint8)
         for start in range(0, len(turn), BATCH_KEYS):
             portion = turn[start : start + BATCH_KEYS]
             prints = _fingerprints(keys[portion], digits, bits)
             by_print[portion], exact[portion] = _probe(coded, stored, keys[portion], prints)
+            by_earlier[portion], _ = _probe(own_code, own, keys[portion], prints)
+            by_earlier[portion] |= _repeated(prints)
             if start + BATCH_KEYS < len(turn):
-                stored = _sorted(np.concatenate([stored, keys[portion[~exact[portion]]]]))
-                coded = EliasFano.encode(_fingerprints(stored, digits, bits), width)
-        return pa.table({"key": new.column("key"), "first_put": first, "puts": new.column("puts"), "in_store": exact, "by_fingerprint": by_print})
+                own = _sorted(np.concatenate([own, keys[portion[~exact[portion]]]]))
+                own_code = EliasFano.encode(_fingerprints(own, digits, bits), width)
+        return pa.table({"key": new.column("key"), "first_put": first, "puts": new.column("puts"), "in_store": exact, "by_fingerprint": by_print, "by_earlier": by_earlier})
 
     each = valid(batch, key).groupBy(F.unhex(key).alias("key")).agg(F.min(F.col(order).cast("bigint")).alias("first_put"), F.count(F.lit(1)).alias("puts"))
     each = each.withColumn("part", F.lower(F.substring(F.hex("key"), 1, digits)))
@@ -161,9 +173,11 @@ def list_keys(lists: DataFrame, hashes: str) -> tuple[DataFrame, int]:
     return lists.select(F.explode(hashes).alias("key")), int(total)
 
 
-def wrong_rate(answers: DataFrame) -> DataFrame:
-    """keys, seen, wrong (fingerprint says seen, the whole key does not; it never errs the other way) and the rate."""
-    wrong = F.sum((F.col("by_fingerprint") & ~F.col("in_store")).cast("bigint"))
+def wrong_rate(answers: DataFrame, earlier: bool = False) -> DataFrame:
+    """keys, seen, wrong (fingerprint says seen, the whole key does not; it never errs the other way) and the rate.
+    ``earlier``: fingerprints of earlier keys of the batch err as well as those of the store."""
+    hit = F.col("by_fingerprint") | F.col("by_earlier") if earlier else F.col("by_fingerprint")
+    wrong = F.sum((hit & ~F.col("in_store")).cast("bigint"))
     total = answers.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum(F.col("in_store").cast("bigint")), F.lit(0)).alias("seen"), F.coalesce(wrong, F.lit(0)).alias("wrong"))
     return total.withColumn("wrong_rate", F.coalesce(F.col("wrong") / F.nullif(F.col("keys") - F.col("seen"), F.lit(0)), F.lit(0.0)))
 

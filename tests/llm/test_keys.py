@@ -74,6 +74,34 @@ def test_short_fingerprints_err_and_the_rate_tells(spark):
     assert seen.seen_rows(batch, "hash", "put_id", answers).count() == 0
 
 
+@pytest.mark.parametrize("portion", [3, 1 << 16])
+def test_the_rate_counts_fingerprints_of_earlier_keys_of_the_batch(spark, monkeypatch, portion):
+    monkeypatch.setattr(seen, "BATCH_KEYS", portion)
+    keys = [sha(-i - 1) for i in range(1500)] + [sha(i) for i in range(100)]
+    random.Random(6).shuffle(keys)
+    store = seen.build_store(spark.createDataFrame([(sha(i),) for i in range(500)], "key string"), "key", 500, bits=14)
+    batch = spark.createDataFrame(list(enumerate(keys)), "put_id long, hash string")
+    rate = seen.wrong_rate(seen.probe_store(store, batch, "hash", "put_id", 500, bits=14), earlier=True).first()
+    known, prints, wrong = {sha(i) for i in range(500)}, {int(sha(i)[:4], 16) >> 2 for i in range(500)}, 0
+    alone = sum(k not in known and int(k[:4], 16) >> 2 in prints for k in keys)
+    for k in keys:
+        wrong += k not in known and int(k[:4], 16) >> 2 in prints
+        prints.add(int(k[:4], 16) >> 2)
+    assert (rate.keys, rate.seen, rate.wrong, rate.wrong_rate) == (1600, 100, wrong, wrong / 1500) and wrong > alone
+
+
+def test_p4_rate_against_a_plain_count(spark, data):
+    known = {k for r in spark.read.parquet(f"{data}/alive_index.parquet").select("hashes").collect() for k in r[0] or [] if k}
+    puts = [r[1] for r in sorted(spark.read.parquet(f"{data}/blobs.parquet").select("put_id", "hash").where(F.col("hash").rlike(seen.VALID)).collect())]
+    wrong, before, prints = 0, set(known), {k[:6] for k in known if len(k) == 64}
+    for k in puts:
+        wrong += k not in before and k[:6] in prints
+        before.add(k)
+        prints.add(k[:6])
+    got = QUERIES["p4_rate"](spark, data).where("bits = 24").first()
+    assert (got.keys, got.wrong) == (len(set(puts)), wrong)
+
+
 def test_merged_store_equals_one_built_at_once(spark):
     one, two = (spark.createDataFrame([(sha(i),) for i in some] + [("bad",), (None,)], "key string") for some in (range(200), range(100, 320)))
     merged = seen.merge_store(seen.build_store(one, "key", 300), two, "key", 300)
