@@ -9,16 +9,18 @@ from siltbed.llm import abuse, bpe, near, packing, seen
 from siltbed.session import materialise, parallelism, table
 
 
-def _answers(spark: SparkSession, d: str, bits: int = seen.FINGERPRINT_BITS) -> DataFrame:
+def _answers(spark: SparkSession, d: str, bits: int = seen.FINGERPRINT_BITS, span: int | None = None) -> DataFrame:
     keys, expected = seen.list_keys(table(spark, d, "alive_index"), "hashes")
     blobs = table(spark, d, "blobs")
     expected = max(expected, blobs.count())
     store = materialise(seen.build_store(keys, "key", expected, bits), "seen-store")
-    return seen.probe_store(store, blobs, "hash", "put_id", expected, bits)
+    return seen.probe_store(store, blobs, "hash", "put_id", expected, bits, span)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return seen.seen_rows(table(spark, d, "blobs").select("put_id", "hash"), "hash", "put_id", _answers(spark, d)).select("put_id")
+    rows = table(spark, d, "blobs").select("put_id", "hash")
+    span = seen.turn_span(rows, "put_id")
+    return seen.seen_rows(rows, "hash", "put_id", _answers(spark, d, span=span), span).select("put_id")
 
 
 def p4_rate(spark: SparkSession, d: str) -> DataFrame:

@@ -23,9 +23,11 @@ FINGERPRINT_BITS = 56
 PARTITION_KEYS = 250_000
 #: New keys of a partition that are merged at a time.
 BATCH_KEYS = 1 << 16
+#: Turns in which the rows of a query's batch are taken, by equal spans of their order.
+TURNS = 16
 
 STORE = "part string, n bigint, low_bits int, highs binary, lows binary, rest binary"
-ANSWERS = "key binary, first_put bigint, puts bigint, in_store boolean, by_fingerprint boolean, by_earlier boolean"
+ANSWERS = "key binary, turn bigint, first_put bigint, puts bigint, in_store boolean, repeated boolean, by_fingerprint boolean, by_earlier boolean"
 
 
 def valid(keys: DataFrame, key: str) -> DataFrame:
@@ -107,13 +109,26 @@ def _repeated(prints: np.ndarray) -> np.ndarray:
     return out
 
 
-def probe_store(store: DataFrame, batch: DataFrame, key: str, order: str, expected: int, bits: int = FINGERPRINT_BITS) -> DataFrame:
-    """For each distinct valid key of ``batch``: its first ``order`` value, how often it comes, whether the store held it
-    before (exactly, and by fingerprint alone), and whether an earlier key of the batch has its fingerprint.
+def _turn(order: str, span: int | None):
+    """The turn in which a row is taken: so many ``order`` values each; one turn without a span."""
+    return F.floor(F.col(order).cast("bigint") / F.lit(span)) if span else F.lit(0).cast("bigint")
 
-    Each partition takes its new keys in ``order``, ``BATCH_KEYS`` at a time. A portion is probed against the store and
-    against the code of the batch's own keys, compared with itself, and merged into that code before the next; so each
-    key meets all earlier ones, however the portions are cut.
+
+def turn_span(batch: DataFrame, order: str) -> int:
+    """The span that makes about ``TURNS`` turns of ``batch``."""
+    first, last = batch.agg(F.min(F.col(order).cast("bigint")), F.max(F.col(order).cast("bigint"))).first()
+    return 1 if first is None else (last - first) // TURNS + 1
+
+
+def probe_store(store: DataFrame, batch: DataFrame, key: str, order: str, expected: int, bits: int = FINGERPRINT_BITS, span: int | None = None) -> DataFrame:
+    """For each turn of ``span`` values of ``order`` and each distinct valid key in it: its first ``order`` value, how
+    often it comes, whether the store held it before and whether an earlier turn had it (exactly), whether the store has
+    its fingerprint, and whether an earlier key of the batch has it.
+
+    A turn's own repetitions are one row, so a hot key is at most a row per turn. Each partition takes its rows in
+    ``order``, a turn and at most ``BATCH_KEYS`` at a time. A portion is probed against the store and against the code
+    of the batch's own keys, compared with itself, and merged into that code before the next; so each key meets all
+    earlier ones, however the portions are cut.
     """
     digits = partition_digits(expected)
     width = bits - 4 * digits
@@ -125,21 +140,22 @@ def probe_store(store: DataFrame, batch: DataFrame, key: str, order: str, expect
             coded, stored = EliasFano(row["n"], row["low_bits"], row["highs"], row["lows"]), np.frombuffer(row["rest"], np.uint8).reshape(-1, 32)
         else:
             coded, stored = EliasFano.encode(np.zeros(0, np.uint64), width), np.zeros((0, 32), np.uint8)
-        turn = np.argsort(first, kind="stable")
-        by_print, exact, by_earlier = np.zeros(len(keys), bool), np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        order_of = np.argsort(first, kind="stable")
+        cuts = np.flatnonzero(np.diff(new.column("turn").to_numpy()[order_of])) + 1
+        portions = [t[k : k + BATCH_KEYS] for t in np.split(order_of, cuts) for k in range(0, len(t), BATCH_KEYS)]
+        by_print, exact, by_earlier, repeated = (np.zeros(len(keys), bool) for _ in range(4))
         own_code, own = EliasFano.encode(np.zeros(0, np.uint64), width), np.zeros((0, 32), np.uint8)
-        for start in range(0, len(turn), BATCH_KEYS):
-            portion = turn[start : start + BATCH_KEYS]
+        for k, portion in enumerate(portions):
             prints = _fingerprints(keys[portion], digits, bits)
             by_print[portion], exact[portion] = _probe(coded, stored, keys[portion], prints)
-            by_earlier[portion], _ = _probe(own_code, own, keys[portion], prints)
+            by_earlier[portion], repeated[portion] = _probe(own_code, own, keys[portion], prints)
             by_earlier[portion] |= _repeated(prints)
-            if start + BATCH_KEYS < len(turn):
-                own = _sorted(np.concatenate([own, keys[portion[~exact[portion]]]]))
+            if k + 1 < len(portions):
+                own = _sorted(np.concatenate([own, keys[portion[~exact[portion] & ~repeated[portion]]]]))
                 own_code = EliasFano.encode(_fingerprints(own, digits, bits), width)
-        return pa.table({"key": new.column("key"), "first_put": first, "puts": new.column("puts"), "in_store": exact, "by_fingerprint": by_print, "by_earlier": by_earlier})
+        return pa.table({"key": new.column("key"), "turn": new.column("turn"), "first_put": first, "puts": new.column("puts"), "in_store": exact, "repeated": repeated, "by_fingerprint": by_print, "by_earlier": by_earlier})
 
-    each = valid(batch, key).groupBy(F.unhex(key).alias("key")).agg(F.min(F.col(order).cast("bigint")).alias("first_put"), F.count(F.lit(1)).alias("puts"))
+    each = valid(batch, key).groupBy(F.unhex(key).alias("key"), _turn(order, span).alias("turn")).agg(F.min(F.col(order).cast("bigint")).alias("first_put"), F.count(F.lit(1)).alias("puts"))
     each = each.withColumn("part", F.lower(F.substring(F.hex("key"), 1, digits)))
     return store.groupBy("part").cogroup(each.groupBy("part")).applyInArrow(answer, ANSWERS)
 
@@ -159,12 +175,13 @@ def merge_store(store: DataFrame, batch: DataFrame, key: str, expected: int, bit
     return store.groupBy("part").cogroup(new.groupBy("part")).applyInArrow(merge, STORE)
 
 
-def seen_rows(batch: DataFrame, key: str, order: str, answers: DataFrame) -> DataFrame:
-    """Rows of ``batch`` whose key was in the store or in a row with a smaller ``order``. Only keys that were seen at
-    all are joined back; that side has one row a key, so adaptive execution can split a hot key's rows."""
-    known = answers.where("in_store or puts > 1").select(F.lower(F.hex("key")).alias("__key"), "first_put", "in_store")
-    rows = valid(batch, key).join(known, F.col(key) == F.col("__key"))
-    return rows.where(F.col("in_store") | (F.col(order) > F.col("first_put"))).drop("__key", "first_put", "in_store")
+def seen_rows(batch: DataFrame, key: str, order: str, answers: DataFrame, span: int | None = None) -> DataFrame:
+    """Rows of ``batch`` whose key was in the store, in an earlier turn (``span`` as in :func:`probe_store`) or in a row
+    of its turn with a smaller ``order``. Only keys that were seen at all are joined back; that side has one row a key
+    and turn, so adaptive execution can split a hot key's rows."""
+    known = answers.where("in_store or repeated or puts > 1").select(F.lower(F.hex("key")).alias("__key"), F.col("turn").alias("__turn"), "first_put", (F.col("in_store") | F.col("repeated")).alias("__before"))
+    rows = valid(batch, key).join(known, (F.col(key) == F.col("__key")) & (_turn(order, span) == F.col("__turn")))
+    return rows.where(F.col("__before") | (F.col(order) > F.col("first_put"))).drop("__key", "__turn", "first_put", "__before")
 
 
 def list_keys(lists: DataFrame, hashes: str) -> tuple[DataFrame, int]:

@@ -62,6 +62,20 @@ def test_seen_keys(spark, monkeypatch):
     assert (rate.wrong, rate.wrong_rate) == (0, 0.0)
 
 
+@pytest.mark.parametrize(("portion", "span"), [(2, 40), (1 << 16, 100), (1 << 16, 1)])
+def test_keys_of_earlier_turns_are_found_in_the_merged_code(spark, monkeypatch, portion, span):
+    monkeypatch.setattr(seen, "BATCH_KEYS", portion)
+    r = random.Random(8)
+    keys = [sha("hot") if r.random() < 0.2 else sha(r.randrange(250)) for _ in range(600)]
+    store = seen.build_store(spark.createDataFrame([(sha(i),) for i in range(60)], "key string"), "key", 60)
+    batch = spark.createDataFrame(list(enumerate(keys)), "put_id long, hash string")
+    answers = seen.probe_store(store, batch, "hash", "put_id", 60, span=span).cache()
+    known, want = {sha(i) for i in range(60)}, {i for i, k in enumerate(keys) if k in keys[:i]}
+    assert {x.put_id for x in seen.seen_rows(batch, "hash", "put_id", answers, span).collect()} == want | {i for i, k in enumerate(keys) if k in known}
+    found = {(bytes(x.key).hex(), x.turn) for x in answers.where("repeated").collect()}
+    assert found == {(k, i // span) for i, k in enumerate(keys) if k not in known and k in keys[: i // span * span]}
+
+
 def test_short_fingerprints_err_and_the_rate_tells(spark):
     flat = spark.createDataFrame([(sha(i),) for i in range(3000)], "key string")
     batch = spark.createDataFrame([(i, sha(-i - 1)) for i in range(2000)], "put_id long, hash string")
