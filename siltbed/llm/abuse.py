@@ -67,7 +67,6 @@ class Scorer:
         #: Row 0 is padding, row 1 the neutral word; the keys are word hashes (0 and 1 stand for these two).
         self.words = pd.Index(np.array([0, 1], np.uint64))
         self.table = self.model.net.vectors(np.array([0, NEUTRAL]), np.zeros(0, np.int64), np.zeros(2, np.int64))
-        self.known = np.zeros(2, bool)
         self.seen, self.scores = pd.Index(np.zeros(0, np.uint64)), np.zeros(0, np.float32)
 
     def _rows(self, words: Words) -> np.ndarray:
@@ -84,7 +83,6 @@ class Scorer:
             row[fresh] = len(self.words) + np.arange(len(fresh))
             self.words = pd.Index(np.concatenate([self.words.to_numpy(), distinct[fresh]]))
             self.table = np.concatenate([self.table, self.model.net.vectors(number[fresh], slots, sizes)])
-            self.known = np.concatenate([self.known, number[fresh] >= FIRST_WORD])
         return row[local]
 
     def score(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -122,10 +120,6 @@ class Scorer:
             rows = np.where(mask, row[np.minimum(start[some][:, None] + np.arange(width), len(row) - 1)], 0)
             distinct, local = np.unique(rows, return_inverse=True)
             out[some] = self.model.net.forward(self.table[distinct], local.reshape(rows.shape), mask)
-            # Among unknown words, as of keys and binary data, a few known ones do not suffice.
-            known = (self.known[rows] & mask).sum(axis=1)
-            unknown = ((rows > 1) & ~self.known[rows] & mask).sum(axis=1)
-            out[some] *= np.where((known > 0) & (unknown <= 2 * known), 1.0, 0.49)
         return out
 
 

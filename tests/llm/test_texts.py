@@ -8,8 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltbed.llm import bpe, packing
-from siltbed.llm.abuse import Scorer, abuse_scores, train
-from siltbed.llm.gru import BiGru
+from siltbed.llm.abuse import UNKNOWN, Scorer, abuse_scores, train
+from siltbed.llm.gru import BiGru, char_slots
 from siltbed.llm.queries import QUERIES
 from siltbed.llm.words import WIDTH, Words, hash_strings, windows
 from tests.conftest import rows
@@ -212,6 +212,20 @@ def test_held_out_accuracy():
     assert odd[0] > 0.5 and odd[1] > 0.5 and odd[2] < 0.5
 
 
+def test_the_network_alone_decides_on_unknown_words():
+    r = random.Random(2)
+    fit = bags(r, 250)
+    model = train([b for b, _, _ in fit], [y for _, y, _ in fit])
+    model.net.p["bo"][:] += 8
+    for text in ("idiotface moronic halfwited", "you superidiots halfwitmoron moronish"):  # none known, one among three
+        words = text.split()
+        ids = model.number(hash_strings(words))
+        assert (ids == UNKNOWN).sum() == 3
+        table = model.net.vectors(ids, *char_slots(words))
+        want = model.net.forward(table, np.arange(len(words))[None, :], np.ones((1, len(words)), bool))[0]
+        assert abs(Scorer(model).score(*bpe.text_bytes(pa.array([text])))[0] - want) < 1e-4 and want > 0.5
+
+
 def test_training_without_one_kind():
     model = train([["a b"], ["c d"]], [0, 0])
     assert (Scorer(model).score(*bpe.text_bytes(pa.array(["a b", "", "zz"]))) < 0.5).all()
