@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from siltbed.llm.bpe import portions, text_bytes
 from siltbed.llm.gru import Adam, BiGru, char_slots
-from siltbed.llm.words import LONGEST_WORD, WIDTH, Words, hash_strings, run_hashes, windows
+from siltbed.llm.words import WIDTH, Words, hash_strings, run_hashes, windows
 
 #: Most labelled documents that are used for training, the ones of least hash; the only bound, and none on scoring.
 MOST_LABELLED = 6000
@@ -75,7 +75,6 @@ class Scorer:
         first = np.zeros(len(distinct), np.int64)
         first[local[::-1]] = np.arange(len(local))[::-1]
         number = self.model.number(distinct)
-        number = np.where((number == UNKNOWN) & (words.sizes[first] > LONGEST_WORD), NEUTRAL, number)
         row = np.where(number == NEUTRAL, 1, self.words.get_indexer(distinct))
         fresh = np.flatnonzero(row < 0)
         if len(fresh):
@@ -172,7 +171,7 @@ def train(bags: list[list[str]], labels: list[int], seed: int = 3, rounds: int =
         (positives if label else negatives).update({w for window in bag for w in window.split()})
     p, n = sum(labels), len(labels) - sum(labels)
     odds = {w: np.log((positives[w] + 0.3) / (p + 1)) - np.log((negatives[w] + 0.3) / (n + 1)) for w in positives | negatives}
-    neutral = {w for w in odds if len(w) > LONGEST_WORD or (negatives[w] >= 2 and odds[w] < 1.0)}
+    neutral = {w for w in odds if negatives[w] >= 2 and odds[w] < 1.0}
     telling = sorted(w for w in odds if w not in neutral and positives[w] + negatives[w] > 1)
     vocabulary = {w: FIRST_WORD + i for i, w in enumerate(telling)}
     net = BiGru(FIRST_WORD + len(telling), seed)

@@ -22,7 +22,8 @@ STAND_FOR = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g
 LOOK_ALIKE = dict(zip("аеорсухіјѕкмтвнԁɡӏαοντυρικηı", "aeopcyxijskmtbhdglaovtupikni"))
 #: Words per window, and how far the next window of a line begins.
 WIDTH, STRIDE = 16, 8
-LONGEST_WORD = 40
+#: A word of more letters, as in scripts without blanks, is cut into overlapping pieces of PIECE letters every PIECE_STEP.
+LONGEST_WORD, PIECE, PIECE_STEP = 40, 20, 10
 
 
 @functools.lru_cache
@@ -137,8 +138,17 @@ class Words:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.line = line[starts[first]]
         self.text = np.searchsorted(ends, starts[first], side="right") - 1
+        if (self.sizes > LONGEST_WORD).any():
+            self._cut()
         self.texts = len(bounds) - 1
 
+    def _cut(self) -> None:
+        many = np.where(self.sizes > LONGEST_WORD, -(-(self.sizes - PIECE) // PIECE_STEP) + 1, 1)
+        of = np.repeat(np.arange(len(many)), many)
+        skip = (np.arange(len(of)) - (np.cumsum(many) - many)[of]) * PIECE_STEP
+        self.sizes = np.where(many[of] > 1, np.minimum(PIECE, self.sizes[of] - skip), self.sizes[of])
+        self.starts, self.line, self.text = self.starts[of] + skip, self.line[of], self.text[of]
+
     def hashes(self) -> np.ndarray:
         return word_hashes(self.letters, self.starts, self.sizes)
 

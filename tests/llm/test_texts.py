@@ -226,6 +226,26 @@ def test_the_network_alone_decides_on_unknown_words():
         assert abs(Scorer(model).score(*bpe.text_bytes(pa.array([text])))[0] - want) < 1e-4 and want > 0.5
 
 
+def test_long_words_are_cut_and_scored():
+    r = random.Random(4)
+    letters = "".join(r.choice("bcdfghjklm") + r.choice("aeiou") for _ in range(60))
+    words = Words(*bpe.text_bytes(pa.array([f"open {letters[:40]} {letters[:41]} gate", letters])))
+    pieces = words.strings(np.arange(len(words.starts)))
+    assert pieces[:3] == ["open", letters[:40], letters[:20]] and pieces[5:7] == [letters[30:41], "gate"]
+    assert [p for p, t in zip(pieces, words.text) if t] == [letters[i : i + 20] for i in range(0, 101, 10)]
+    assert (hash_strings(pieces) == words.hashes()).all()
+    insult = "goawayyoumoronyouareastupididiotgoawayyouhalfwit"  # 48 letters between two signs
+    fit = bags(r, 250) + [([f"return ledger {insult}"], 1, 1)] * 10
+
+    def cut(line):
+        words = Words(*bpe.text_bytes(pa.array([line])))
+        return " ".join(words.strings(np.arange(len(words.starts))))
+
+    model = train([[cut(line) for line in b] for b, _, _ in fit], [y for _, y, _ in fit])
+    got = Scorer(model).score(*bpe.text_bytes(pa.array([f"x = 1\nopen the {insult}", "open the ledger"])))
+    assert got[0] > 0.5 > got[1]
+
+
 def test_training_without_one_kind():
     model = train([["a b"], ["c d"]], [0, 0])
     assert (Scorer(model).score(*bpe.text_bytes(pa.array(["a b", "", "zz"]))) < 0.5).all()
