@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from siltbed.functions.instants import CANONICAL, normalise_instants
 from siltbed.operators.history import file_versions
-from siltbed.operators.incremental import pending_files, pending_intervals
-from siltbed.operators.intervals import across_blocks
+from siltbed.operators.incremental import pending_files, pending_intervals, processed_rows
+from siltbed.operators.intervals import Ledger, across_blocks
 from siltbed.operators.orphans import missing_blobs, null_mask, orphan_references
 from siltbed.operators.snapdiff import snapshot_changes
 from siltbed.operators.snapshots import ordered_snapshots
-from siltbed.session import broadcast_if_small, table
+from siltbed.session import broadcast_if_small, scratch_path, table
 
 
 def _missing(spark: SparkSession, d: str) -> DataFrame:
@@ -49,6 +49,16 @@ def p2_gaps(spark: SparkSession, d: str) -> DataFrame:
     return across_blocks(gaps, "cloud_id").select("cloud_id", F.col("lo").alias("first_rev"), F.col("hi").alias("last_rev"))
 
 
+def p2_committed(spark: SparkSession, d: str) -> DataFrame:
+    """The numbers a ledger holds, as intervals per source, after a run over what successful runs have read and one
+    over the whole scan, which commits the rest."""
+    scan = table(spark, d, "files_scan")
+    ledger = Ledger(spark, scratch_path(spark, "ledger"), "cloud_id", "rev")
+    for rows in (processed_rows(scan, table(spark, d, "scan_runs")), scan):
+        ledger.run(rows.select("cloud_id", "rev", "rel_path", "size", "mtime", "status"), lambda new: new)
+    return across_blocks(ledger.processed(), "cloud_id").select("cloud_id", F.col("lo").alias("first_rev"), F.col("hi").alias("last_rev"))
+
+
 def _snapshots(spark: SparkSession, d: str) -> DataFrame:
     return ordered_snapshots(table(spark, d, "manifests"), table(spark, d, "source_registry"))
 
@@ -78,7 +88,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return known.select("record_table", "record_id", "utc_us").dropDuplicates(["record_table", "record_id"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_intake, p2_found, p2_gaps, p3_found, p6_found, p6_report, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_intake, p2_found, p2_gaps, p2_committed, p3_found, p6_found, p6_report, p7_found)}
 
 _REFS = """
 WITH refs AS (

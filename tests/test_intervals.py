@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siltbed.operators import intervals as iv
 from siltbed.operators.incremental import pending_files
+from siltbed.plans.problems import QUERIES
 from tests.conftest import rows
 
 SCHEMA = "k string, seq long"
@@ -62,6 +63,14 @@ def test_ledger_neither_skips_nor_repeats(spark, tmp_path):
     assert spread(ledger.processed()) == {("a", 1), ("a", 2), ("a", 3), ("a", 5), ("b", 1), ("b", 9), (None, 4)}
 
 
+def test_the_ledger_of_the_query_holds_the_whole_scan(spark, data):
+    numbers = {(r[0], r[1]) for r in spark.read.parquet(f"{data}/files_scan.parquet").select("cloud_id", "rev").collect() if r[1] is not None}
+    got = QUERIES["p2_committed"](spark, data).collect()
+    held = [(r.cloud_id, n) for r in got for n in range(r.first_rev, r.last_rev + 1)]
+    assert len(held) == len(set(held)) and set(held) == numbers
+    assert not any((r.cloud_id, r.last_rev + 1) in numbers for r in got)
+
+
 def test_pending_files(spark):
     at = lambda h: f"2025-02-01 {h:02d}:00:00"
     scan = [
