@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.functions.instants import CANONICAL, normalise_instants
+from siltbed.functions.instants import CANONICAL, InstantDictionary, normalise_instants
 from siltbed.operators.history import file_versions
 from siltbed.operators.incremental import pending_files, pending_intervals, processed_rows
 from siltbed.operators.intervals import Ledger, across_blocks
@@ -76,15 +76,22 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("change_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Setting with the path of a dictionary of instants that is kept from run to run; without it each run keeps its own.
+DICTIONARY = "spark.siltbed.instants"
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The values of manifests enter a stored dictionary first, then those of manifest_files that it has not met."""
     zones = table(spark, d, "source_registry").groupBy("cloud_id").agg(F.max("time_zone").alias("zone"), F.max("date_locale").alias("locale"))
     manifests = table(spark, d, "manifests").select("manifest_id", "cloud_id", "ts").dropDuplicates(["manifest_id"])
     manifests = manifests.join(broadcast_if_small(zones), "cloud_id", "left")
     files = table(spark, d, "manifest_files").select("entry_id", "manifest_id", "mtime").where(~F.col("mtime").rlike(CANONICAL))
     files = files.join(broadcast_if_small(manifests.select("manifest_id", "zone", "locale")), "manifest_id", "left")
     rows = manifests.where(~F.col("ts").rlike(CANONICAL)).select(F.lit("manifests").alias("record_table"), F.col("manifest_id").alias("record_id"), F.col("ts").alias("raw"), "zone", "locale")
-    rows = rows.unionByName(files.select(F.lit("manifest_files").alias("record_table"), F.col("entry_id").alias("record_id"), F.col("mtime").alias("raw"), "zone", "locale"))
-    known = normalise_instants(rows, "raw", "zone", "locale").where("utc_us is not null")
+    more = files.select(F.lit("manifest_files").alias("record_table"), F.col("entry_id").alias("record_id"), F.col("mtime").alias("raw"), "zone", "locale")
+    dictionary = InstantDictionary(spark, spark.conf.get(DICTIONARY, None) or scratch_path(spark, "instants"))
+    known, later = (normalise_instants(part, "raw", "zone", "locale", dictionary=dictionary) for part in (rows, more))
+    known = known.unionByName(later).where("utc_us is not null")
     return known.select("record_table", "record_id", "utc_us").dropDuplicates(["record_table", "record_id"])
 
 

@@ -72,6 +72,21 @@ def test_dictionary_grows_by_new_values_only(spark, tmp_path):
     assert InstantDictionary(spark, path).extend(two).count() == 2
 
 
+def test_the_query_keeps_its_dictionary(spark, data, tmp_path):
+    path = f"file://{tmp_path}/kept"
+    want = {tuple(r) for r in QUERIES["p7_found"](spark, data).collect()}
+    spark.conf.set("spark.siltbed.instants", path)
+    try:
+        sizes = []
+        for _ in range(2):
+            assert {tuple(r) for r in QUERIES["p7_found"](spark, data).collect()} == want
+            kept = spark.read.parquet(path)
+            sizes.append((kept.count(), kept.distinct().count()))
+    finally:
+        spark.conf.unset("spark.siltbed.instants")
+    assert sizes[0] == sizes[1] and sizes[0][0] == sizes[0][1] > 0
+
+
 def test_dictionary_works_on_the_rows_of_a_hot_value(spark):
     rows = spark.range(2000).select(F.lit("17.08.2024 03:38:35").alias("raw"), F.lit(BERLIN).alias("zone"), F.lit("de").alias("locale"))
     assert normalise_instants(rows, "raw", "zone", "locale").agg(F.count("utc_us"), F.countDistinct("utc_us")).first() == (2000, 1)
