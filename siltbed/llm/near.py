@@ -128,8 +128,9 @@ def _close(a: str, b: str):
     return (small * 10 >= large * TENTHS) & (apart * (10 + TENTHS) <= (small + large) * (10 - TENTHS))
 
 
-def earliest_similar(sets: DataFrame, table: DataFrame) -> DataFrame:
-    """(late, early): for each set the smallest cid of an earlier similar one, where there is one.
+def earliest_similar(sets: DataFrame, table: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
+    """(late, early): for each set, or each one of ``fresh`` (cid), the smallest cid of an earlier similar one, where
+    there is one. With ``fresh`` the others are never paired among themselves.
 
     Buckets of one block value with up to ``ANCHORS`` sets are paired in full. A larger one is worked off in rounds:
     all of its sets against its ``ANCHORS`` earliest, then those that match none of them against the next ones, until
@@ -140,12 +141,14 @@ def earliest_similar(sets: DataFrame, table: DataFrame) -> DataFrame:
     sizes = table.groupBy("sig").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1")
     shared = materialise(table.join(sizes, "sig"), "buckets")
     small = shared.where(F.col("in_bucket") <= ANCHORS)
-    a, b = small.alias("a"), small.alias("b")
+    asked = (lambda rows: rows.join(fresh.select("cid"), "cid", "left_semi").select(*rows.columns)) if fresh is not None else (lambda rows: rows)
+    a, b = small.alias("a"), asked(small).alias("b")
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.cid") < F.col("b.cid"))).where(_close("a", "b"))
     pairs = pairs.select(F.col("a.cid").alias("early"), F.col("b.cid").alias("late")).distinct()
     found = _similar(pairs, sets).groupBy("late").agg(F.min("early").alias("early"))
 
-    pool = pending = shared.where(F.col("in_bucket") > ANCHORS).drop("in_bucket")
+    pool = shared.where(F.col("in_bucket") > ANCHORS).drop("in_bucket")
+    pending = asked(pool)
     while pending.take(1):
         anchors = materialise(_earliest(pool), "anchors")
         x, y = anchors.alias("x"), pending.alias("y")
@@ -230,9 +233,9 @@ class History:
         table = materialise(block_tables(fresh, np.zeros(0, np.uint64)), "fresh-blocks")
         probed = blocks.join(table.select("sig").distinct(), "sig", "left_semi").unionByName(table)
         all_sets = sets.select("cid", "elements").unionByName(fresh.select("cid", "elements"))
-        near = earliest_similar(all_sets, probed)
+        near = earliest_similar(all_sets, probed, fresh)
         links = self._read("links", "late bigint, early bigint")
-        mine = materialise(near.join(fresh.select(F.col("cid").alias("late")), "late", "left_semi").select("late", "early"), "links")
+        mine = materialise(near.select("late", "early"), "links")
         first = known.select("k1", "k2", F.coalesce("first", "cid").alias("cid"))
         best = first.join(links.unionByName(mine), F.col("cid") == F.col("late"), "left").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.least("cid", "early").alias("by_set"))
         own = batch.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min("intake_id").alias("by_content"))

@@ -211,6 +211,25 @@ def test_history_in_batches_equals_all_at_once(spark, tmp_path):
     assert got == brute(files)
 
 
+@pytest.mark.parametrize("anchors", [64, 2])
+def test_history_pairs_no_old_sets_with_old_ones(spark, tmp_path, monkeypatch, anchors):
+    monkeypatch.setattr(near, "ANCHORS", anchors)
+    files = [(i, 1, None, [(f"c{k}", 1) for k in range(12)] + [(f"n{i}", 1)]) for i in range(1, 10)]
+    compared, plain = [], near._similar
+
+    def spy(pairs, sets):
+        compared.extend(r.late for r in pairs.collect())
+        return plain(pairs, sets)
+
+    monkeypatch.setattr(near, "_similar", spy)
+    history, got = near.History(spark, f"file://{tmp_path}/history"), set()
+    for start in (0, 6):
+        compared.clear()
+        got |= {(r.intake_id, r.earlier_id) for r in history.take(spark.createDataFrame(files[start : start + (6 if not start else 3)], INTAKE)).collect()}
+    assert got == brute(files)
+    assert compared and min(compared) > 6
+
+
 def test_empty_and_single(spark):
     none = spark.createDataFrame([], INTAKE)
     assert near.earliest_matches(none).count() == 0
