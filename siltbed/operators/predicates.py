@@ -1,7 +1,8 @@
-"""Ignore patterns and size filters, compiled to column expressions that Catalyst can fold and push down.
+"""Ignore patterns and size filters. A list of patterns is compiled once to a single regular expression that Java's and
+Python's engines read alike, so that columns (one ``rlike`` in Catalyst) and a directory walk share one meaning.
 
 Patterns: without a glob a pattern names a file or a whole directory at any depth; with ``*``, ``?`` or ``[`` it is
-matched against the base name, else the full path, and never crosses a slash; ``**`` spans directories.
+matched against the base name, else the full path, and its stars never cross a slash; ``**`` spans directories.
 """
 
 from __future__ import annotations
@@ -13,84 +14,101 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltbed.functions.paths import ancestors, base_name
-
-
-
-def glob_regex(glob: str) -> str | None:
-    """A regular expression for a glob whose stars stay within a segment; None for a malformed one, which never matches."""
-    out, i = "", 0
-    while i < len(glob):
-        c = glob[i]
-        if c == "*":
-            out += "[^/]*"
-        elif c == "?":
-            out += "[^/]"
-        elif c == "\\":
-            i += 1
-            if i == len(glob):
+from siltbed.functions.paths import ancestors
+
+#: Nothing may follow: the one spelling of a strict end that both engines know.
+_END = r"(?![\s\S])"
+_NEVER = "(?!)"
+_TOKEN = re.compile(r"\*+|\?|\\[\s\S]|\[|[^*?\\\[]+")
+_ITEM = re.compile(r"(\\[\s\S]|[^\\\]-])(?:-(\\[\s\S]|[^\\\]-]))?")
+
+
+def _class(body: str, negated: bool) -> str | None:
+    """A character class of single characters and ranges; None for a malformed one. A range from high to low is empty."""
+    sets, at = [], 0
+    while at < len(body):
+        item = _ITEM.match(body, at)
+        if item is None:
+            return None
+        low, high = (c and c[-1] for c in item.groups())
+        if high is None or low <= high:
+            sets.append(re.escape(low) + (f"-{re.escape(high)}" if high else ""))
+        at = item.end()
+    if not body:
+        return None
+    if not sets:
+        return r"[\s\S]" if negated else _NEVER
+    return f"[{'^' * negated}{''.join(sets)}]"
+
+
+def _glob_body(glob: str) -> str | None:
+    """A glob as an expression for a whole name or path; None for a malformed one, which never matches."""
+    out, at = [], 0
+    while at < len(glob):
+        token = _TOKEN.match(glob, at)
+        if token is None:  # a backslash at the end
+            return None
+        text, at = token.group(), token.end()
+        if text == "[":
+            negated = glob.startswith("^", at)
+            close = re.compile(r"(?:\\[\s\S]|[^\\\]])*").match(glob, at + negated).end()
+            made = _class(glob[at + negated : close], negated) if close < len(glob) else None
+            if made is None:
                 return None
-            out += re.escape(glob[i])
-        elif c == "[":
-            end = i + 1 + (glob[i + 1 : i + 2] == "^")
-            body, start = "", end
-            while end < len(glob) and (glob[end] != "]" or end == start):
-                if glob[end] == "\\":
-                    end += 1
-                    if end >= len(glob):
-                        return None
-                body += ("\\" + glob[end]) if glob[end] in r"\[]^&" else glob[end]
-                end += 1
-            if end >= len(glob):
-                return None
-            out += "[" + ("^/" if glob[i + 1] == "^" else "") + body + "]"
-            i = end
+            out.append(made)
+            at = close + 1
         else:
-            out += re.escape(c)
-        i += 1
-    return f"^{out}$"
+            out.append("[^/]*" if text[0] == "*" else "[^/]" if text == "?" else re.escape(text[-1] if text[0] == "\\" else text))
+    return "".join(out)
 
 
-def _glob(path: Column, pattern: str) -> Column:
-    regex = glob_regex(pattern)
-    if regex is None:
-        return F.lit(False)
-    return base_name(path).rlike(regex) | path.rlike(regex) if "/" in pattern or "[" in pattern else base_name(path).rlike(regex)
+def _is_glob(pattern: str) -> bool:
+    return bool(set("*?[") & set(pattern))
 
 
-def _literal(path: Column, pattern: str) -> Column:
-    name = pattern.removesuffix("/")
-    return (path == name) | path.startswith(name + "/") | path.contains(f"/{name}/") | path.endswith("/" + name)
+def _named(name: str) -> str:
+    """The file or directory of that name at any depth, with all below it."""
+    return f"(?:.*/)?{re.escape(name)}(?:/.*)?"
 
 
-def _suffixes(path: Column) -> Column:
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+def _globbed(pattern: str) -> str:
+    body = _glob_body(pattern)
+    if body is None:
+        return _NEVER
+    return f"(?:.*/)?{body}" if not set("/[") & set(pattern) else f"(?:(?:.*/)?(?=[^/]*{_END}){body}|{body})"
 
 
-def match_pattern(path: Column, pattern: str) -> Column:
+def _body(pattern: str) -> str:
     if "**" not in pattern:
-        return _glob(path, pattern) if re.search(r"[*?\[]", pattern) else _literal(path, pattern)
+        return _globbed(pattern) if _is_glob(pattern) else _named(pattern.removesuffix("/"))
     if pattern == "**":
-        return path.isNotNull()
+        return ".*"
     if pattern.startswith("**/"):
-        rest = pattern[3:]
-        if not re.search(r"[*?\[]", rest):
-            return _literal(path, rest)
-        return F.exists(_suffixes(path), lambda s: match_pattern(s, rest))
+        return f"(?:.*/)?(?:{_body(pattern[3:])})"
     if pattern.endswith("/**"):
-        head = pattern[:-3]
-        return (path == head) | path.startswith(head + "/") | path.contains(f"/{head}/")
-    if "/**/" in pattern:
-        head, rest = pattern.split("/**/", 1)
-        parts = F.split(path, "/")
+        head = re.escape(pattern[:-3])
+        return f"(?:{head}|(?:.*/)?{head}/.*)"
+    head, span, rest = pattern.partition("/**/")
+    # After a slash the head counts as text: it may begin a longer name.
+    return f"(?:{re.escape(head)}|.*/{re.escape(head)}.*)/(?=.)(?:{_body(rest)})" if span else _globbed(pattern)
+
+
+def _whole(bodies: Iterable[str]) -> str | None:
+    kept = [b for b in bodies if b != _NEVER]
+    return f"(?s)^(?:{'|'.join(f'(?:{b})' for b in kept)}){_END}" if kept else None
+
+
+def exclusion_regex(patterns: Iterable[str], ignore_case: bool = False) -> str | None:
+    """One expression for paths that any of the patterns matches; None if none can."""
+    return _whole(_body(p.lower() if ignore_case else p) for p in dict.fromkeys(patterns))
 
-        def at(i: Column) -> Column:
-            before, after = F.array_join(F.slice(parts, F.lit(1), i), "/"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "/")
-            return ((before == head) | ((i > 1) & before.contains("/" + head))) & (after != "") & match_pattern(after, rest)
 
-        return (F.size(parts) > 1) & F.exists(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), at)
-    return _glob(path, pattern)
+def _matches(path: Column, regex: str | None) -> Column:
+    return path.rlike(regex) if regex else F.lit(False)
+
+
+def match_pattern(path: Column, pattern: str) -> Column:
+    return _matches(path, exclusion_regex([pattern]))
 
 
 def _any(columns: Iterable[Column]) -> Column:
@@ -98,15 +116,19 @@ def _any(columns: Iterable[Column]) -> Column:
 
 
 def is_excluded(path: Column, positives: list[str], negatives: list[str] = (), ignore_case: bool = False) -> Column:
-    fold = (lambda s: s.lower()) if ignore_case else (lambda s: s)
+    """Two expressions in all, however many patterns there are. A null path stays null unless nothing can match."""
     path = F.lower(path) if ignore_case else path
-    return _any(match_pattern(path, fold(p)) for p in positives) & ~_any(match_pattern(path, fold(n)) for n in negatives)
+    return _matches(path, exclusion_regex(positives, ignore_case)) & ~_matches(path, exclusion_regex(negatives, ignore_case))
+
+
+def kept_regex(negatives: list[str]) -> str | None:
+    """Directories that a negative pattern names, or that lie below one, are never skipped as a whole."""
+    return _whole(f"{re.escape(n)}(?:/.*)?" for n in negatives)
 
 
 def skips_directory(folder: Column, positives: list[str], negatives: list[str] = ()) -> Column:
     """Whether a scan leaves out the whole directory."""
-    kept = _any((folder == n) | folder.startswith(n + "/") for n in negatives)
-    return is_excluded(folder, positives, negatives) & ~kept
+    return is_excluded(folder, positives, negatives) & ~_matches(folder, kept_regex(list(negatives)))
 
 
 def under_skipped(path: Column, positives: list[str], negatives: list[str] = ()) -> Column:
@@ -154,23 +176,19 @@ def parse_ignore_lines(lines: Iterable[str]) -> list[str]:
     return [line for line in stripped if line and not line.startswith("#")]
 
 
+def _loose(pattern: str) -> Iterable[str]:
+    yield f"{re.escape(pattern)}.*"
+    if pattern.startswith("**/"):
+        yield _named(pattern[3:]).removesuffix("(?:/.*)?")
+        yield f".*/{re.escape(pattern[3:])}/.*"
+    if pattern.endswith("/**"):
+        yield f"{re.escape(pattern[:-3])}(?:/.*)?"
+    head, span, tail = pattern.partition("**")
+    if span:
+        yield f"(?={re.escape(head)}).*(?<={re.escape(tail)})"
+    yield _globbed(pattern)
+
+
 def match_exclude(path: Column, patterns: Iterable[str]) -> Column:
-    """The older, looser matcher: equality, '**/x' and 'x/**', 'a**b' as prefix and suffix, globs, and any raw prefix."""
-
-    def one(pattern: str) -> Column:
-        found = path == pattern
-        if pattern.startswith("**/"):
-            tail = pattern[3:]
-            found = found | path.endswith("/" + tail) | (path == tail) | path.contains(f"/{tail}/")
-        if pattern.endswith("/**"):
-            head = pattern[:-3]
-            found = found | path.startswith(head + "/") | (path == head)
-        if "**" in pattern:
-            head, tail = pattern.split("**", 1)
-            found = found | (path.startswith(head) & path.endswith(tail))
-        regex = glob_regex(pattern)
-        if regex is not None:
-            found = found | base_name(path).rlike(regex) | path.rlike(regex)
-        return found | path.startswith(pattern)
-
-    return _any(one(p) for p in patterns)
+    """The older, looser matcher: any raw prefix, '**/x' and 'x/**', 'a**b' as prefix and suffix, and globs."""
+    return _matches(path, _whole(body for p in patterns for body in _loose(p)))

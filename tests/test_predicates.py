@@ -1,9 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from siltbed.functions.paths import ancestors, cloud_key, is_cloud_id, is_dense, is_hash, safe_relative, toggle_leading_dot
 from siltbed.operators import predicates as p
-from siltbed.sources.tree import _segments_match
 
 PATHS = ["build", "build/x.o", "src/build/x.o", "src/build", "rebuild/x", "a/b/c.log", "c.log", "x/raw/y/deep.bin", "x/raw", "z/xa/q/t.txt", "x/q/t.txt", "x/t.txt", "[odd]/n", ".git/config", "a.b/c", ""]
 TRUTH = [
@@ -35,7 +36,19 @@ def paths(spark):
 def test_pattern(paths, pattern, want):
     got = {r.path for r in paths.where(p.match_pattern(F.col("path"), pattern)).collect()}
     assert got == want
-    assert {x for x in PATHS if _segments_match(x, pattern)} == want
+    regex = p.exclusion_regex([pattern])
+    assert {x for x in PATHS if regex and re.search(regex, x)} == want
+
+
+def test_classes_and_lists_in_both_engines(spark, paths):
+    tricky = [(x,) for x in ["a/c", "a-c", "a]c", "a\nc", "zz", "é", "&&", "a^c", ""]]
+    for patterns in (["a[^b]c"], ["a[]]c"], ["[]a]"], ["[z-a]"], ["[^z-a]"], ["a[\\]-]c"], ["[é]"], ["&&", "zz"], ["a*c", "["], ["a[^^]c"], ["x\\"], [""], ["/"]):
+        regex = p.exclusion_regex(patterns)
+        got = {r.x for r in spark.createDataFrame(tricky, "x string").where(p.is_excluded(F.col("x"), patterns)).collect()}
+        assert got == {x for (x,) in tricky if regex and re.search(regex, x)}, patterns
+    only = lambda pattern: {x for (x,) in tricky if (r := p.exclusion_regex([pattern])) and re.search(r, x)}
+    assert only("a[^b]c") == {"a/c", "a-c", "a]c", "a\nc", "a^c"}  # a class, unlike a star, may match a slash
+    assert only("[]a]") == only("[z-a]") == only("x\\") == set() and only("[^z-a]") == {"é", "a/c"}  # the base name alone is matched as well
 
 
 def test_negation_case_and_skipping(spark, paths):
