@@ -21,6 +21,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltbed.commits import Commits
 from siltbed.session import broadcast_if_small, materialise
 
 #: The form in which a value is already normal.
@@ -147,8 +148,9 @@ def with_instant(df: DataFrame, raw: str, zone: str, locale: str, out: str) -> D
 
 
 class InstantDictionary:
-    """The distinct (raw, zone, locale) values met so far with their instants, parsed exhaustively once and
-    kept as a table that grows by the values not yet in it.
+    """The distinct (raw, zone, locale) values met so far with their instants, each parsed once, as a table that grows by
+    commits (see ``commits``) of the values not yet in it. A run that finds its commit taken by another looks again for
+    what is new, so no value is in it twice.
 
     ``path`` may be None: the dictionary then lives in the shared folder for this run only.
     """
@@ -156,26 +158,24 @@ class InstantDictionary:
     SCHEMA = "raw string, zone string, locale string, utc_us bigint"
 
     def __init__(self, spark, path: str | None = None):
-        self.spark, self.path = spark, path
+        self.spark, self.log = spark, Commits(spark, path) if path else None
 
-    def _stored(self) -> DataFrame | None:
-        if not self.path:
-            return None
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path)
-        there = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if there else None
+    def stored(self) -> DataFrame:
+        return self.log.tables([self.log.read(n)["data"] for n in self.log.numbers()], self.SCHEMA)
 
-    def extend(self, values: DataFrame) -> DataFrame:
+    def extend(self, values: DataFrame, attempts: int = 5) -> DataFrame:
         """Add the values of ``values`` (raw, zone, locale) and return the whole dictionary."""
-        new = values.select("raw", "zone", "locale").distinct()
-        if (stored := self._stored()) is not None:
-            new = new.join(stored, ["raw", "zone", "locale"], "left_anti")
-        parsed = with_instant(new, "raw", "zone", "locale", "utc_us")
-        if not self.path:
-            return materialise(parsed, "instants")
-        parsed.write.mode("append").option("compression", "zstd").parquet(self.path)
-        return self._stored()
+        distinct = values.select("raw", "zone", "locale").distinct()
+        if self.log is None:
+            return materialise(with_instant(distinct, "raw", "zone", "locale", "utc_us"), "instants")
+        for _ in range(attempts):
+            last, _state = self.log.latest()
+            new = distinct.join(self.stored().select("raw", "zone", "locale"), ["raw", "zone", "locale"], "left_anti") if last else distinct
+            data = self.log.stage()
+            with_instant(new, "raw", "zone", "locale", "utc_us").write.option("compression", "zstd").parquet(data)
+            if self.log.commit(last + 1, {"data": data}):
+                return self.stored()
+        raise RuntimeError(f"{attempts} commits in a row were taken by other runs")
 
 
 def normalise_instants(rows: DataFrame, raw: str | list[str], zone: str, locale: str, out: str | list[str] = "utc_us", dictionary: InstantDictionary | None = None) -> DataFrame:

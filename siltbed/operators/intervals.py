@@ -7,11 +7,12 @@ Merging across block borders happens only on the two outermost intervals of each
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltbed.commits import Commits
+from siltbed.session import materialise
+
 #: Sequence numbers per block.
 BLOCK = 1 << 16
 
@@ -70,56 +71,67 @@ def across_blocks(intervals: DataFrame, key: str) -> DataFrame:
     return intervals.where(~touches).select(key, "lo", "hi").unionByName(merged)
 
 
+def word_masks(intervals: DataFrame, key: str) -> DataFrame:
+    """(key, word, mask): the intervals as bits, 64 numbers a row; linear in the numbers however ragged they are."""
+    words = intervals.select(key, "lo", "hi", F.explode(F.sequence(F.shiftright("lo", 6), F.shiftright("hi", 6))).alias("word"))
+    first, last = "int(greatest(lo, word * 64) & 63)", "int(least(hi, word * 64 + 63) & 63)"
+    mask = F.expr(f"shiftleft(-1L, {first}) & shiftrightunsigned(-1L, 63 - {last})")
+    return words.groupBy(key, "word").agg(F.bit_or(mask).alias("mask"))
+
+
 def rows_in(rows: DataFrame, intervals: DataFrame, key: str, seq: str) -> DataFrame:
-    """``rows`` with ``in_gap``: whether their number is in one of the intervals. The join is on key and block, with
-    the borders as a residual condition; disjoint intervals match a row at most once. A null key equals a null key."""
-    left = rows.withColumn("__block", block_of(F.col(seq)))
-    right = intervals.select(F.col(key).alias("__key"), F.col("block").alias("__b"), "lo", "hi")
-    on = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__block") == F.col("__b")) & F.col(seq).between(F.col("lo"), F.col("hi"))
-    return left.join(right, on, "left").withColumn("in_gap", F.col("lo").isNotNull()).drop("__block", "__key", "__b", "lo", "hi")
+    """``rows`` with ``in_gap``: whether their number is in one of the intervals. A plain equi-join on key and number / 64,
+    then one bit; the rows are the streamed side, so repeated numbers may be as many as they like. A null key equals a
+    null key; a null number is in no interval."""
+    masks = word_masks(intervals, key).select(F.col(key).alias("__key"), F.col("word").alias("__word"), F.col("mask").alias("__mask"))
+    left = rows.withColumn("__at", F.col(seq).cast("bigint"))
+    on = F.col(key).eqNullSafe(F.col("__key")) & (F.shiftright("__at", 6) == F.col("__word"))
+    bit = F.expr("coalesce(getbit(__mask, int(__at & 63)) = 1, false)")
+    return left.join(masks, on, "left").withColumn("in_gap", bit).drop("__key", "__word", "__mask", "__at")
 
 
 class Ledger:
-    """Processed intervals on disk, committed together with the output they stand for.
+    """Processed intervals on disk, committed together with the output they stand for (see ``commits``).
 
-    A run writes its output and the merged intervals under one staging folder and renames that folder once; a run
-    that dies before the rename leaves nothing that a later run reads, one that dies after it has committed both.
-    So no number is skipped and none is repeated. ``folder`` must be on a file system with atomic rename.
+    A run fixes the gaps once, as a table; the output and the merged intervals are both made from it, so a source that
+    grows meanwhile changes neither, and its new numbers are the next run's. A run that dies before its commit leaves
+    nothing that a later run reads; one that finds its commit taken by another starts over from the new state. So no
+    number is skipped and none is repeated.
+
+    Rows that are wholly equal are handed over once; rows of one number that differ are handed over all, for only
+    ``process`` can tell which counts. Rows without a number have no place in a sequence: they are left out, and their
+    number is in the commit (``unnumbered``). Extra columns pass through; an empty source commits empty tables.
     """
 
     def __init__(self, spark: SparkSession, folder: str, key: str, seq: str):
-        self.spark, self.folder, self.key, self.seq = spark, folder.rstrip("/"), key, seq
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+        self.spark, self.log, self.key, self.seq = spark, Commits(spark, folder), key, seq
 
     def commits(self) -> list[int]:
-        fs, path = self._fs()
-        root = path(f"{self.folder}/commits")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(root)) if fs.exists(root) else []
+        return self.log.numbers()
 
     def processed(self, key_type: str = "string") -> DataFrame:
-        if done := self.commits():
-            return self.spark.read.parquet(f"{self.folder}/commits/{done[-1]}/intervals")
-        return self.spark.createDataFrame([], f"{self.key} {key_type}, block bigint, lo bigint, hi bigint")
+        number, content = self.log.latest()
+        return self._intervals(content, key_type)
+
+    def _intervals(self, content: dict, key_type: str) -> DataFrame:
+        return self.log.tables([f"{content['data']}/intervals"] if content else [], f"{self.key} {key_type}, block bigint, lo bigint, hi bigint")
 
-    def output(self) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.folder}/commits/{n}/output" for n in self.commits()])
+    def output(self, number: int | None = None) -> DataFrame:
+        """The output of one commit, or of all."""
+        return self.spark.read.parquet(*[f"{self.log.read(n)['data']}/output" for n in (self.commits() if number is None else [number])])
 
-    def run(self, rows: DataFrame, process) -> int:
+    def run(self, rows: DataFrame, process, attempts: int = 5) -> int:
         """Process what the ledger does not hold: ``process(new_rows)`` gives the output. Returns the commit's number."""
-        available = to_intervals(rows, self.key, self.seq)
-        before = self.processed(dict(rows.dtypes)[self.key])
-        gaps = subtract_intervals(available, before, self.key)
-        new = rows_in(rows, gaps, self.key, self.seq).where("in_gap").drop("in_gap").dropDuplicates([self.key, self.seq])
-        number = (self.commits() or [0])[-1] + 1
-        fs, path = self._fs()
-        staging = f"{self.folder}/staging/{uuid.uuid4().hex}"
-        process(new).write.parquet(f"{staging}/output")
-        merge_intervals(before, gaps, self.key).write.parquet(f"{staging}/intervals")
-        fs.mkdirs(path(f"{self.folder}/commits"))
-        if not fs.rename(path(staging), path(f"{self.folder}/commits/{number}")):
-            raise RuntimeError(f"commit {number} was taken by another run")
-        return number
+        for _ in range(attempts):
+            last, content = self.log.latest()
+            before = self._intervals(content, dict(rows.dtypes)[self.key])
+            gaps = materialise(subtract_intervals(to_intervals(rows, self.key, self.seq), before, self.key), "gaps")
+            data = self.log.stage()
+            new = rows_in(rows, gaps, self.key, self.seq).where("in_gap").drop("in_gap").dropDuplicates()
+            process(new).write.parquet(f"{data}/output")
+            merge_intervals(before, gaps, self.key).write.parquet(f"{data}/intervals")
+            # One column with a pushed-down filter: files without a null are not read.
+            unnumbered = rows.where(F.col(self.seq).isNull()).count()
+            if self.log.commit(last + 1, {"data": data, "unnumbered": unnumbered}):
+                return last + 1
+        raise RuntimeError(f"{attempts} commits in a row were taken by other runs")

@@ -76,11 +76,9 @@ def _anti_join(refs: DataFrame, targets: DataFrame, keys, as_of, valid_from, rem
         (F.min(valid_from) if valid_from else F.lit(None)).alias("__since"),
         F.max(F.col(removed_at).isNull() if removed_at else F.lit(True)).alias("__live"),
     )
-    joined = refs.join(broadcast_if_small(known), on, "left")
-    there = F.coalesce(F.col("__live"), F.lit(False))
     if as_of:
-        there = there & F.coalesce(F.col("__since") <= F.col(as_of), F.lit(False))
-    return joined.where(~there)
+        on = on & (F.col("__since") <= F.col(as_of))
+    return refs.join(broadcast_if_small(known.where("__live")), on, "left_anti")
 
 
 def store_references(entries: DataFrame, chunks: DataFrame, manifests: DataFrame) -> DataFrame:

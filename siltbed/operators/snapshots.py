@@ -59,10 +59,12 @@ def states_of(entries: DataFrame) -> DataFrame:
     """One row per path and snapshot with the content_hash and mtime that hold there: of entries that share a path
     the one with the greatest pos (then entry_id); one that could not be read keeps those of the path's latest
     earlier one that could, or its own if there is none. ``entries`` should be partitioned by cloud_id and path;
-    all of the windows below then work within these partitions, over one sort."""
+    all of the windows below then work within these partitions, over one sort. ``was_read``: whether the values come from
+    an entry that could be read."""
     path = Window.partitionBy("cloud_id", "path")
     last = entries.withColumn("__nth", F.row_number().over(Window.partitionBy("cloud_id", "path", "snap").orderBy(F.desc("pos"), F.desc("entry_id")))).where("__nth = 1").drop("__nth")
     so_far = path.orderBy("snap").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     read = F.last(F.when(~F.col("not_read"), F.struct("content_hash", "mtime")), ignorenulls=True).over(so_far)
-    held = last.withColumn("__held", F.coalesce(F.when(F.col("not_read"), read), F.struct("content_hash", "mtime")))
-    return held.withColumns({"content_hash": F.col("__held.content_hash"), "mtime": F.col("__held.mtime")}).drop("__held", "not_read", "pos", "entry_id")
+    held = last.withColumn("__read", read).withColumn("__held", F.coalesce(F.when(F.col("not_read"), F.col("__read")), F.struct("content_hash", "mtime")))
+    held = held.withColumns({"content_hash": F.col("__held.content_hash"), "mtime": F.col("__held.mtime"), "was_read": F.col("__read").isNotNull()})
+    return held.drop("__held", "__read", "not_read", "pos", "entry_id")

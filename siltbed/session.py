@@ -32,16 +32,19 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can read: ``spark.checkpoint.dir``. Only where that is unset
-    (a single machine, as in tests) a temporary folder is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that every executor can read: ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``.
+    Only where neither is set, on a single machine, a temporary folder is made; on a cluster that is an error."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = getattr(spark.sparkContext, "_siltbed_dir", None)
+        folder = getattr(context, "_siltbed_dir", None)
         if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             folder = "file://" + tempfile.mkdtemp(prefix="siltbed-")
-            spark.sparkContext._siltbed_dir = folder
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+            context._siltbed_dir = folder
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -71,14 +74,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate; exact file size for a table that was read and only narrowed."""
+    """The optimiser's estimate; the file size, compressed, for a table that was read and only narrowed."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def memory_bytes(df: DataFrame) -> int:
+    """Rows times width as they lie in memory, strings, binaries and arrays by their true lengths: one aggregate."""
+    width, lengths = 16, []
+    for name, kind in df.dtypes:
+        width += 16
+        if kind in ("string", "binary"):
+            lengths.append(F.octet_length(F.col(f"`{name}`")))
+        elif kind.startswith(("array", "map", "struct")):
+            lengths.append(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))))
+    sums = [F.coalesce(F.sum(n.cast("bigint")), F.lit(0)) for n in lengths]
+    row = df.agg(F.count(F.lit(1)), *sums).first()
+    return row[0] * width + sum(row[1:])
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when the estimate is below ``limit``; beyond it the join is shuffled,
-    where adaptive execution splits hot keys."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    """Hint a broadcast only when the estimate is below ``limit`` and so is the size in memory, which is measured then
+    (a scan of at most ``limit`` bytes of files); beyond it the join is shuffled, where adaptive execution splits hot
+    keys."""
+    return F.broadcast(df) if estimated_bytes(df) <= limit and memory_bytes(df) <= limit else df
 
 
 def ship(spark: SparkSession) -> None:

@@ -72,6 +72,24 @@ def test_dictionary_grows_by_new_values_only(spark, tmp_path):
     assert InstantDictionary(spark, path).extend(two).count() == 2
 
 
+def test_a_dictionary_that_another_run_extends(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/kept"
+    values = lambda *raws: spark.createDataFrame([(r, "UTC", "") for r in raws], "raw string, zone string, locale string")
+    mine, other = InstantDictionary(spark, path), InstantDictionary(spark, path)
+    stage = mine.log.stage
+    monkeypatch.setattr(mine.log, "stage", lambda: (other.extend(values("1", "2")) if not other.log.numbers() else None, stage())[1])
+    assert {r.raw for r in mine.extend(values("1", "3")).collect()} == {"1", "2", "3"} and mine.stored().count() == 3
+
+
+def test_large_tables_are_not_broadcast(spark):
+    from siltbed.session import broadcast_if_small, memory_bytes
+
+    some = spark.range(50).select(F.lit("x" * 100).alias("s"))
+    assert 5000 < memory_bytes(some) < 10000
+    hinted = lambda limit: "ResolvedHint" in str(broadcast_if_small(some, limit)._jdf.queryExecution().analyzed())
+    assert hinted(1 << 20) and not hinted(3000)
+
+
 def test_the_query_keeps_its_dictionary(spark, data, tmp_path):
     path = f"file://{tmp_path}/kept"
     want = {tuple(r) for r in QUERIES["p7_found"](spark, data).collect()}
@@ -80,7 +98,7 @@ def test_the_query_keeps_its_dictionary(spark, data, tmp_path):
         sizes = []
         for _ in range(2):
             assert {tuple(r) for r in QUERIES["p7_found"](spark, data).collect()} == want
-            kept = spark.read.parquet(path)
+            kept = InstantDictionary(spark, path).stored()
             sizes.append((kept.count(), kept.distinct().count()))
     finally:
         spark.conf.unset("spark.siltbed.instants")

@@ -63,6 +63,56 @@ def test_ledger_neither_skips_nor_repeats(spark, tmp_path):
     assert spread(ledger.processed()) == {("a", 1), ("a", 2), ("a", 3), ("a", 5), ("b", 1), ("b", 9), (None, 4)}
 
 
+def test_a_source_that_grows_during_a_run(spark, tmp_path):
+    source = str(tmp_path / "source")
+    put = lambda *ns: spark.createDataFrame([("a", n) for n in ns], SCHEMA).write.mode("append").parquet(source)
+    put(1, 3)
+    scan = lambda: spark.read.schema(SCHEMA).parquet(source)
+    ledger = iv.Ledger(spark, f"file://{tmp_path}/ledger", "k", "seq")
+
+    def process(new):
+        put(2, 4)  # after the gaps were fixed, before the output is written
+        return new
+
+    ledger.run(scan(), process)
+    held = spread(ledger.processed())
+    assert held == set(map(tuple, rows(ledger.output()))) >= {("a", 1), ("a", 3)}
+    ledger.run(scan(), lambda new: new)
+    assert rows(ledger.output()) == [("a", 1), ("a", 2), ("a", 3), ("a", 4)] and spread(ledger.processed()) == {("a", n) for n in (1, 2, 3, 4)}
+
+
+def test_two_runs_at_once_both_commit(spark, tmp_path):
+    one, two = (iv.Ledger(spark, f"file://{tmp_path}/ledger", "k", "seq") for _ in range(2))
+    rows_of = lambda *ns: spark.createDataFrame([("a", n) for n in ns], SCHEMA)
+    turns = []
+
+    def interrupted(new):
+        if not turns:
+            turns.append(two.run(rows_of(2, 3), lambda x: x))  # takes the number that the outer run wants
+        return new
+
+    assert one.run(rows_of(1, 2), interrupted) == 2 and turns == [1]
+    assert rows(one.output()) == [("a", 1), ("a", 2), ("a", 3)] and spread(two.processed()) == {("a", 1), ("a", 2), ("a", 3)}
+    assert not one.log.commit(2, {}) and one.log.sweep() == 1 and one.commits() == [1, 2]
+
+
+def test_differing_rows_of_one_number_and_rows_without_a_number(spark, tmp_path):
+    ledger = iv.Ledger(spark, f"file://{tmp_path}/ledger", "k", "seq")
+    scan = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("a", 1, "y"), ("a", None, "z")], SCHEMA + ", lo string")
+    ledger.run(scan, lambda new: new)
+    assert rows(ledger.output()) == [("a", 1, "x"), ("a", 1, "y")] and ledger.log.latest()[1]["unnumbered"] == 1
+    ledger.run(scan.where("false"), lambda new: new)
+    assert ledger.output(2).count() == 0
+
+
+def test_masks_of_ragged_intervals(spark):
+    numbers_ = {n for n in range(-200, 400) if n % 2 and n % 7} | set(range(1000, 1300)) | {(1 << 40) + 63, (1 << 40) + 64}
+    parts = iv.to_intervals(numbers(spark, {"a": numbers_}), "k", "seq")
+    probe = set(range(-210, 1310)) | {(1 << 40) + n for n in (62, 63, 64, 65)}
+    marked = iv.rows_in(numbers(spark, {"a": probe, "b": {1}}), parts, "k", "seq").where("in_gap").collect()
+    assert {(r.k, r.seq) for r in marked} == {("a", n) for n in numbers_}
+
+
 def test_the_ledger_of_the_query_holds_the_whole_scan(spark, data):
     numbers = {(r[0], r[1]) for r in spark.read.parquet(f"{data}/files_scan.parquet").select("cloud_id", "rev").collect() if r[1] is not None}
     got = QUERIES["p2_committed"](spark, data).collect()

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from siltbed.operators.history import attribute_log, combine_logs, file_versions
@@ -39,6 +41,18 @@ def test_changes(spark):
     assert snapshot_changes(files.where("false"), snaps).count() == 0
 
 
+def test_deliveries_come_to_the_same(spark, tmp_path):
+    r = random.Random(9)
+    manifests = [(i, r.choice(["c", "d", None]), f"2024-01-{i:02d}T00:00:00Z") for i in range(1, 13)]
+    files = [(100 * m + p, m, p, f"p{r.randrange(12)}", r.choice(["x", "y", None]), "1", r.choice([None, "new", "locked", "error"])) for m, _, _ in manifests for p in range(r.choice([0, 6, 10]))]
+    files, snaps = store(spark, manifests, files)
+    whole = rows(snapshot_changes(files, snaps, deliveries=1))
+    assert rows(snapshot_changes(files, snaps, deliveries=3)) == whole
+    snapshot_changes(files, snaps, f"file://{tmp_path}/s")
+    with pytest.raises(ValueError, match="taken already"):
+        snapshot_changes(files, snaps, f"file://{tmp_path}/s")
+
+
 def test_versions(spark):
     files, snaps = store(spark, MANIFESTS, FILES)
     got = rows(file_versions(files, snaps).select("path", "content_hash", "from_manifest_id", "to_manifest_id", "versions"))
