@@ -1,10 +1,11 @@
 """Byte-level BPE in numpy over whole batches of texts.
 
 Texts are cut into pieces by the tokenizer's pattern, worked out from character classes on the UTF-8 bytes of a whole
-batch; each distinct piece is encoded once per task. Pieces are grouped by length into padded matrices of token ids;
-each round looks up the ranks of all neighbouring pairs in a hash table, and every row merges its leftmost pair of
-the least rank and closes up; rows without a pair leave the matrix. Rows longer than ``LONG`` merge all occurrences of
-their least pair in a round, which is the same: a merged token only forms pairs of greater rank than the one it came from.
+batch; each distinct piece is encoded once per task, where two pieces are the same only if all of their bytes are.
+Pieces are grouped by length into padded matrices of token ids, whatever that length is; each round looks up the ranks of
+new neighbouring pairs in a hash table, and every row merges its leftmost pair of the least rank and closes up; rows
+without a pair leave the matrix. Where the rows of a matrix hold their least pair twice or more on average, a round merges
+all of its occurrences, which is the same: a merged token only forms pairs of greater rank than the one it came from.
 
 The vocabulary file is a parameter and never copied; the driver reads it and ships arrays of a fixed size (some 4 MB).
 """
@@ -26,10 +27,8 @@ TOKENIZERS = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
 #: Bytes of text that are worked on at a time.
 BATCH_BYTES = 3 << 20
-#: Tokens of a piece from which it is merged by itself.
-LONG = 192
-#: Distinct pieces that a task remembers; beyond it the memory starts anew, at no change of the result.
-REMEMBER = 1_500_000
+#: Distinct pieces, and bytes of them, that a task remembers; beyond it the memory starts anew, at no change of the result.
+REMEMBER, REMEMBER_BYTES = 1_500_000, 64 << 20
 NONE = np.uint32(0xFFFF)
 NO_RANK = np.int32(0x7FFFFFFF)
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -115,9 +114,32 @@ def pair_ranks(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> np.ndarray
     return flat_out.reshape(out.shape)
 
 
+def _merge_all(v: Vocabulary, rows: np.ndarray, ranks: np.ndarray, least: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merge every occurrence of each row's least pair and close up; of touching ones (a run of one token) every second."""
+    place = np.arange(rows.shape[1])
+    first = hit.copy()
+    first[:, 1:] &= ~hit[:, :-1]
+    hit &= (place - np.maximum.accumulate(np.where(first, place, 0), axis=1)) % 2 == 0
+    keep = np.ones(rows.shape, bool)
+    keep[:, 1:] = ~hit[:, :-1]
+    keep &= rows != NONE
+    to = np.cumsum(keep, axis=1) - 1
+    row, at = np.nonzero(keep)
+    closed = np.full((len(rows), max(2, int(to[:, -1].max()) + 1)), NONE, np.uint32)
+    moved = np.full(closed.shape, NO_RANK, np.int32)
+    closed[row, to[row, at]] = np.where(hit[row, at], least[row].astype(np.uint32), rows[row, at])
+    moved[row, to[row, at]] = ranks[row, at]
+    row, at = np.nonzero(hit)
+    at, last = to[row, at], closed.shape[1] - 1
+    for r, c in ((row, at), (row[at > 0], at[at > 0] - 1)):
+        moved[r, c] = np.where(c < last, pair_ranks(v, closed[r, c], closed[r, np.minimum(c + 1, last)]), NO_RANK)
+    return closed, moved
+
+
 def _encode_matrix(v: Vocabulary, rows: np.ndarray, fill: np.ndarray, out: list) -> None:
     """``rows``: padded token ids (n, length) of the pieces ``fill``. Appends (pieces, matrix, lengths) to ``out``."""
-    ranks = pair_ranks(v, rows[:, :-1], rows[:, 1:])
+    ranks = np.full(rows.shape, NO_RANK, np.int32)
+    ranks[:, :-1] = pair_ranks(v, rows[:, :-1], rows[:, 1:])
     while len(rows):
         best = ranks.argmin(axis=1)
         index = np.arange(len(rows))
@@ -131,45 +153,36 @@ def _encode_matrix(v: Vocabulary, rows: np.ndarray, fill: np.ndarray, out: list)
             if not len(rows):
                 return
             index = np.arange(len(rows))
+        hit = ranks == least[:, None]
+        if np.count_nonzero(hit) >= 2 * len(rows):
+            rows, ranks = _merge_all(v, rows, ranks, least, hit)
+            continue
         rows[index, best] = least.astype(np.uint32)
         width = rows.shape[1]
-        gather = np.arange(width - 1)[None, :] + (np.arange(width - 1)[None, :] > best[:, None])
-        rows = np.take_along_axis(rows, gather, axis=1)
         if width == 2:
-            out.append((fill, rows, np.ones(len(rows), np.int64)))
+            out.append((fill, rows[:, :1], np.ones(len(rows), np.int64)))
             return
-        # The pair at best is gone; its neighbours are new, the others move up.
-        moved = np.arange(width - 2)[None, :] + (np.arange(width - 2)[None, :] >= best[:, None])
-        ranks = np.take_along_axis(ranks, moved, axis=1)
-        a, b = index[best < width - 2], best[best < width - 2]
+        # The token behind best is gone and the others move up; the pairs on both sides of the merged one are new.
+        gather = np.arange(width - 1)[None, :] + (np.arange(width - 1)[None, :] > best[:, None])
+        rows = np.take_along_axis(rows, gather, axis=1)
+        ranks = np.take_along_axis(ranks, gather, axis=1)
+        inner = best < width - 2
+        a, b = index[inner], best[inner]
+        ranks[index[~inner], best[~inner]] = NO_RANK
         ranks[a, b] = pair_ranks(v, rows[a, b], rows[a, b + 1])
         a, b = index[best > 0], best[best > 0]
         ranks[a, b - 1] = pair_ranks(v, rows[a, b - 1], rows[a, b])
 
 
-def _encode_long(v: Vocabulary, row: np.ndarray) -> np.ndarray:
-    while len(row) > 1:
-        ranks = pair_ranks(v, row[:-1], row[1:])
-        least = ranks.min()
-        if least == NO_RANK:
-            break
-        hits = np.flatnonzero(ranks == least)
-        if row[hits[0]] == row[hits[0] + 1]:  # a run of one token: every second of touching hits
-            start = np.concatenate([[True], np.diff(hits) > 1])
-            first = hits[np.maximum.accumulate(np.where(start, np.arange(len(hits)), 0))]
-            hits = hits[(hits - first) % 2 == 0]
-        row[hits] = np.uint32(least)
-        row = np.delete(row, hits + 1)
-    return row
-
-
 def encode_pieces(v: Vocabulary, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pieces end to end, and how many each has. ``data``: bytes; the pieces are not empty."""
     counts = np.ones(len(starts), np.int64)
     parts: list = []
     single = lengths == 1
     parts.append((np.flatnonzero(single), v.byte_ids[data[starts[single]]][:, None], np.ones(int(single.sum()), np.int64)))
-    edges = [2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64, LONG]
+    edges = [2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32]
+    while edges[-1] < lengths.max(initial=0):
+        edges.append(edges[-1] * 2)
     low = 1
     for high in edges:
         which = np.flatnonzero((lengths > low) & (lengths <= high))
@@ -181,9 +194,6 @@ def encode_pieces(v: Vocabulary, data: np.ndarray, starts: np.ndarray, lengths:
             inside = np.arange(high)[None, :] < lengths[some][:, None]
             rows = np.where(inside, v.byte_ids[data[np.minimum(at, len(data) - 1)]], NONE)
             _encode_matrix(v, rows, some, parts)
-    for i in np.flatnonzero(lengths > LONG):
-        row = _encode_long(v, v.byte_ids[data[starts[i] : starts[i] + lengths[i]]].copy())
-        parts.append((np.array([i]), row[None, :], np.array([len(row)])))
     for which, _, n in parts:
         counts[which] = n
     ends = np.cumsum(counts)
@@ -245,62 +255,84 @@ def _random_words(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser, in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _same_bytes(one: np.ndarray, at: np.ndarray, other: np.ndarray, to: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether ``one[at : at + size]`` equals ``other[to : to + size]``, for each."""
+    if not len(sizes):
+        return np.zeros(0, bool)
+    before = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(before, sizes)
+    return np.logical_and.reduceat(one[np.repeat(at, sizes) + place] == other[np.repeat(to, sizes) + place], before)
+
+
 class Encoder:
-    """Encodes batches of texts; remembers the pieces it has met."""
+    """Encodes batches of texts; remembers the pieces it has met, with their bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.words = _random_words(256, 11)
-        self.base = np.uint64(0x9E3779B97F4A7C15)
-        powers = np.full(BATCH_BYTES * 2, self.base, np.uint64)
-        powers[0] = 1
-        self.powers = np.cumprod(powers, dtype=np.uint64)
-        inverse = pow(int(self.base), -1, 1 << 64)
-        back = np.full(BATCH_BYTES * 2, np.uint64(inverse), np.uint64)
-        back[0] = 1
-        self.back = np.cumprod(back, dtype=np.uint64)
         self._forget()
 
     def _forget(self) -> None:
-        self.index, self.flat, self.counts, self.begin = pd.Index(np.zeros(0, np.uint64)), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _grow(self, size: int) -> None:
-        for name, factor in (("powers", self.base), ("back", np.uint64(pow(int(self.base), -1, 1 << 64)))):
-            more = np.full(size, factor, np.uint64)
-            more[0] = 1
-            setattr(self, name, np.cumprod(more, dtype=np.uint64))
+        none = np.zeros(0, np.int64)
+        #: Hashes of the remembered pieces, the entry that each has, and of every entry: its ids, its bytes.
+        self.index, self.entry = pd.Index(np.zeros(0, np.uint64)), none
+        self.flat, self.counts, self.begin = np.zeros(0, np.uint16), none, none
+        self.bytes, self.sizes, self.starts = np.zeros(0, np.uint8), none, none
 
     def pieces(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, lengths and 64-bit hashes of the pieces of texts end to end."""
+        """Starts, lengths and 64-bit hashes of the pieces of texts end to end: sums of pseudo-random numbers, one for each
+        byte and its place in the piece."""
         starts = split_pieces(self.v.classes, data, bounds)
         ends = np.concatenate([starts[1:], [len(data)]]) if len(starts) else starts
-        if len(data) > len(self.powers):
-            self._grow(len(data) + 1)
+        lengths = ends - starts
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.words[data] * self.powers[: len(data)], out=sums[1:])
-        hashes = (sums[ends] - sums[starts]) * self.back[starts]
-        hashes ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        return starts, ends - starts, hashes
+        place = np.arange(len(data)) - np.repeat(starts, lengths)
+        np.cumsum(_mix(((place << 8) | data).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), out=sums[1:])
+        return starts, lengths, (sums[ends] - sums[starts]) ^ (lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Encode pieces as new entries; returns their numbers."""
+        flat, counts = encode_pieces(self.v, data, starts, lengths)
+        new = len(self.counts) + np.arange(len(counts))
+        place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(counts) - counts])
+        self.starts = np.concatenate([self.starts, len(self.bytes) + np.cumsum(lengths) - lengths])
+        self.flat, self.counts, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts]), np.concatenate([self.sizes, lengths])
+        self.bytes = np.concatenate([self.bytes, data[np.repeat(starts, lengths) + place]])
+        return new
 
     def codes(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """The number of each piece in this encoder's memory; new ones are encoded first."""
+        """The entry of each piece; new ones are encoded first. A piece that has another one's hash, but not its bytes,
+        gets an entry of its own."""
         local, distinct = pd.factorize(hashes)
-        known = self.index.get_indexer(distinct)
-        fresh = np.flatnonzero(known < 0)
-        if len(fresh) and len(self.index) + len(fresh) > REMEMBER and len(self.index):
+        first = np.zeros(len(distinct), np.int64)
+        first[local[::-1]] = np.arange(len(local))[::-1]
+        at = self.index.get_indexer(distinct)
+        fresh = np.flatnonzero(at < 0)
+        if len(self.index) and (len(self.index) + len(fresh) > REMEMBER or len(self.bytes) > REMEMBER_BYTES):
             self._forget()
-            known[:] = -1
-            fresh = np.arange(len(distinct))
+            at, fresh = np.full(len(distinct), -1), np.arange(len(distinct))
+        entry = np.zeros(len(distinct), np.int64)
+        known = np.flatnonzero(at >= 0)
+        entry[known] = self.entry[at[known]]
         if len(fresh):
-            first = np.zeros(len(distinct), np.int64)
-            first[local[::-1]] = np.arange(len(local))[::-1]
-            flat, counts = encode_pieces(self.v, data, starts[first[fresh]], lengths[first[fresh]])
-            known[fresh] = len(self.index) + np.arange(len(fresh))
+            entry[fresh] = self._learn(data, starts[first[fresh]], lengths[first[fresh]])
             self.index = pd.Index(np.concatenate([self.index.to_numpy(), distinct[fresh]]))
-            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(counts) - counts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.flat = np.concatenate([self.flat, flat])
-        return known[local]
+            self.entry = np.concatenate([self.entry, entry[fresh]])
+        code = entry[local]
+        same = self.sizes[code] == lengths
+        same[same] = _same_bytes(data, starts[same], self.bytes, self.starts[code[same]], lengths[same])
+        if not same.all():
+            code[~same] = self._learn(data, starts[~same], lengths[~same])
+        return code
 
     def encode(self, data: np.ndarray, bounds: np.ndarray, want_ids: bool = True) -> tuple[np.ndarray | None, np.ndarray, tuple]:
         """Token ids of all texts end to end (None unless wanted), how many each text has, and (first piece of each

@@ -14,12 +14,15 @@ share one of these. So no pair is lost, whichever blocks are left out.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltbed.session import materialise
+from siltbed.commits import Commits
+from siltbed.session import broadcast_if_small, materialise, scratch_path
 
 #: Least similarity, in tenths.
 TENTHS = 7
@@ -27,6 +30,8 @@ TENTHS = 7
 ANCHORS = 64
 #: An element of more sets than HOT_LEAST and than one in HOT_SHARE of all is frequent; so at most HOT_SHARE are.
 HOT_LEAST, HOT_SHARE = 256, 20_000
+#: How many times as many sets begin a new epoch of frequent elements.
+GROWTH = 4
 
 SIGNATURES = "sig bigint, cid bigint, n int, parity bigint"
 
@@ -90,15 +95,18 @@ def signatures(cid: np.ndarray, sizes: np.ndarray, elements: np.ndarray, hot: np
     return {"sig": sig.view(np.int64), "cid": cid[which], "n": sizes[which].astype(np.int32), "parity": parity[which].view(np.int64)}
 
 
-def block_tables(sets: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(sig, cid, n, parity) of ``sets`` (cid, elements array<bigint>, distinct within each)."""
+def block_tables(sets: DataFrame, hot: np.ndarray, epoch: int = 0) -> DataFrame:
+    """(sig, cid, n, parity) of ``sets`` (cid, elements array<bigint>, distinct within each); signatures of different
+    epochs never meet."""
     shared = sets.sparkSession.sparkContext.broadcast(hot)
+    turned = _mix(np.array([epoch], np.uint64)).view(np.int64)
 
     def work(batches):
         for batch in batches:
             column = batch.column("elements")
             sizes = np.diff(np.asarray(column.offsets)).astype(np.int64)
             kept = signatures(batch.column("cid").to_numpy(), sizes, column.flatten().to_numpy(), shared.value)
+            kept["sig"] = kept["sig"] ^ turned
             yield pa.RecordBatch.from_pydict(kept)
 
     return sets.where(F.size("elements") > 2).select("cid", "elements").mapInArrow(work, SIGNATURES)
@@ -113,12 +121,18 @@ def hot_elements(sets: DataFrame) -> np.ndarray:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (early, late) whose sets are similar enough, compared whole."""
-    one = sets.select(F.col("cid").alias("early"), F.col("elements").alias("__a"))
-    other = sets.select(F.col("cid").alias("late"), F.col("elements").alias("__b"))
-    both = pairs.join(one, "early").join(other, "late")
-    common = F.size(F.array_intersect("__a", "__b"))
-    return both.where(common * (10 + TENTHS) >= (F.size("__a") + F.size("__b")) * TENTHS).select("early", "late")
+    """Pairs (early, late) whose sets are similar enough: first by 64-bit hashes, then what is left by the chunk hashes
+    themselves, so no collision can make a match."""
+
+    def held(candidates: DataFrame, column: str) -> DataFrame:
+        ids = candidates.select(F.explode(F.array("early", "late")).alias("cid")).distinct()
+        some = sets.select("cid", column).join(broadcast_if_small(ids), "cid", "left_semi")
+        both = candidates.join(some.select(F.col("cid").alias("early"), F.col(column).alias("__a")), "early")
+        both = both.join(some.select(F.col("cid").alias("late"), F.col(column).alias("__b")), "late")
+        common = F.size(F.array_intersect("__a", "__b"))
+        return both.where(common * (10 + TENTHS) >= (F.size("__a") + F.size("__b")) * TENTHS).select("early", "late")
+
+    return held(materialise(held(materialise(pairs, "pairs"), "elements"), "close"), "hashes")
 
 
 def _close(a: str, b: str):
@@ -128,27 +142,25 @@ def _close(a: str, b: str):
     return (small * 10 >= large * TENTHS) & (apart * (10 + TENTHS) <= (small + large) * (10 - TENTHS))
 
 
-def earliest_similar(sets: DataFrame, table: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
-    """(late, early): for each set, or each one of ``fresh`` (cid), the smallest cid of an earlier similar one, where
-    there is one. With ``fresh`` the others are never paired among themselves.
+def earliest_similar(sets: DataFrame, table: DataFrame) -> DataFrame:
+    """(late, early): for each fresh set the smallest cid of an earlier similar one, where there is one. ``table``: block
+    tables with ``fresh``; sets that are not fresh are never paired among themselves.
 
     Buckets of one block value with up to ``ANCHORS`` sets are paired in full. A larger one is worked off in rounds:
     all of its sets against its ``ANCHORS`` earliest, then those that match none of them against the next ones, until
     none is left; a set that matches an anchor needs no later one, for those have greater ids. So the pairs stay in
     proportion to the bucket for families of copies, and nothing is capped.
     """
-    table = materialise(table.dropDuplicates(["sig", "cid"]), "blocks")
-    sizes = table.groupBy("sig").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1")
-    shared = materialise(table.join(sizes, "sig"), "buckets")
+    columns = ["sig", "cid", "n", "parity", "fresh"]
+    sizes = table.groupBy("sig").agg(F.countDistinct("cid").alias("in_bucket"), F.max("fresh").alias("__asked")).where("in_bucket > 1 and __asked").drop("__asked")
+    shared = materialise(table.dropDuplicates(["sig", "cid"]).join(sizes, "sig"), "buckets")
     small = shared.where(F.col("in_bucket") <= ANCHORS)
-    asked = (lambda rows: rows.join(fresh.select("cid"), "cid", "left_semi").select(*rows.columns)) if fresh is not None else (lambda rows: rows)
-    a, b = small.alias("a"), asked(small).alias("b")
+    a, b = small.alias("a"), small.where("fresh").alias("b")
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.cid") < F.col("b.cid"))).where(_close("a", "b"))
-    pairs = pairs.select(F.col("a.cid").alias("early"), F.col("b.cid").alias("late")).distinct()
-    found = _similar(pairs, sets).groupBy("late").agg(F.min("early").alias("early"))
+    found = _similar(pairs.select(F.col("a.cid").alias("early"), F.col("b.cid").alias("late")).distinct(), sets).groupBy("late").agg(F.min("early").alias("early"))
 
-    pool = shared.where(F.col("in_bucket") > ANCHORS).drop("in_bucket")
-    pending = asked(pool)
+    pool = shared.where(F.col("in_bucket") > ANCHORS).select(*columns)
+    pending = pool.where("fresh")
     while pending.take(1):
         anchors = materialise(_earliest(pool), "anchors")
         x, y = anchors.alias("x"), pending.alias("y")
@@ -173,79 +185,110 @@ def _earliest(pool: DataFrame) -> DataFrame:
 
 
 def hashed_sets(files: DataFrame) -> DataFrame:
-    """intake_id, content_hash, elements (the distinct chunk hashes as sorted 64-bit hashes; null where there are none)
-    and the 128-bit key (k1, k2) of the set. Null chunk hashes are no hashes."""
-    hashes = F.array_sort(F.array_distinct(F.transform(F.filter("chunks", lambda c: c.hash.isNotNull()), lambda c: F.xxhash64(c.hash))))
-    rows = files.select("intake_id", "content_hash", F.when(F.size("chunks") > 0, hashes).alias("elements"))
-    rows = rows.withColumn("elements", F.when(F.size("elements") > 0, F.col("elements")))
-    some = F.col("elements").isNotNull()
-    return rows.withColumns({"k1": F.when(some, F.xxhash64("elements")), "k2": F.when(some, F.xxhash64(F.lit(7), "elements"))})
-
+    """intake_id, content_hash, hashes (the distinct chunk hashes as bytes, sorted; null where there are none), elements
+    (the same as 64-bit hashes) and the key of the set, a SHA-256 over it. Null chunk hashes are no hashes."""
+    # 64 hex digits take half the room; a leading byte keeps them apart from text of any other form.
+    packed = lambda h: F.when(h.rlike("^[0-9a-f]{64}$"), F.concat(F.lit(b"h"), F.unhex(h))).otherwise(F.concat(F.lit(b"t"), h.cast("binary")))
+    hashes = F.array_sort(F.array_distinct(F.transform(F.filter("chunks", lambda c: c.hash.isNotNull()), lambda c: packed(c.hash))))
+    rows = files.select(F.col("intake_id").cast("bigint").alias("intake_id"), "content_hash", F.when(F.size("chunks") > 0, hashes).alias("hashes"))
+    rows = rows.withColumn("hashes", F.when(F.size("hashes") > 0, F.col("hashes")))
+    whole = F.array_join(F.transform("hashes", lambda h: F.concat(F.hex(F.octet_length(h)), F.lit(":"), F.hex(h))), ",")
+    return rows.withColumns({"elements": F.array_distinct(F.transform("hashes", lambda h: F.xxhash64(h))), "key": F.unhex(F.sha2(whole, 256))})
 
-def set_classes(rows: DataFrame) -> DataFrame:
-    """One row per distinct set: its key, the smallest intake_id as cid, its elements and how many rows have it."""
-    return rows.where(F.col("k1").isNotNull()).groupBy("k1", "k2").agg(F.min("intake_id").alias("cid"), F.first("elements").alias("elements"), F.count(F.lit(1)).alias("copies"))
 
+class History:
+    """Everything accepted so far: the distinct sets with their block tables, the links found and the content hashes, in
+    parquet that only grows, by commits (see ``commits``). A batch is looked up against it by its own blocks and then
+    appended with its answers in one commit, so a batch that died has left nothing.
 
-def earliest_matches(files: DataFrame) -> DataFrame:
-    """(intake_id, earlier_id): for each file the smallest earlier intake_id with an equal content_hash or a similar
-    set of chunks, where there is one.
-
-    Equal sets are one class, so copies never meet in pairs; near-duplicates are found between classes. Null content
-    hashes match nothing, and files without chunks match by content only. intake_id is the order of arrival, along
-    which batch numbers do not fall.
+    Which elements are called frequent is fixed for an epoch; when the history has grown ``GROWTH`` times since, the
+    next batch begins a new one. A set is stored under its own epoch and looks up under every one, so two sets always
+    meet in the epoch of the earlier one; there are logarithmically many.
     """
-    rows = hashed_sets(files)
-    classes = materialise(set_classes(rows), "classes")
-    near = earliest_similar(classes, block_tables(classes, hot_elements(classes)))
-    best = classes.join(near, classes.cid == near.late, "left").where("copies > 1 or early is not null")
-    best = best.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.least("cid", "early").alias("by_set"))
-    same = files.where(F.col("content_hash").isNotNull()).groupBy(F.col("content_hash").alias("__hash")).agg(F.min("intake_id").alias("by_content"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    slim = rows.select("intake_id", "content_hash", "k1", "k2")
-    joined = slim.join(best, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")), "left").join(same, F.col("content_hash") == F.col("__hash"), "left")
-    earlier = F.least("by_set", "by_content")
-    return joined.select("intake_id", earlier.alias("earlier_id")).where(F.col("earlier_id") < F.col("intake_id"))
 
-
-class History:
-    """Everything accepted so far: the distinct sets with their block tables, and the content hashes. A new batch is
-    looked up against it and then appended; the history is probed by the batch's own blocks, never compared whole."""
+    SETS = "key binary, cid bigint, elements array<bigint>, hashes array<binary>"
+    BLOCKS = "sig bigint, cid bigint, n int, parity bigint"
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}") if there else self.spark.createDataFrame([], schema)
-
-    def take(self, batch: DataFrame) -> DataFrame:
-        """(intake_id, earlier_id) of ``batch`` as :func:`earliest_matches` would give it over all batches, then append."""
+        self.spark, self.log = spark, Commits(spark, folder)
+
+    def _table(self, content: dict, name: str, schema: str) -> DataFrame:
+        return self.log.tables([f"{d}/{name}" for d in content.get("data", [])], schema)
+
+    def answers(self) -> DataFrame:
+        """(intake_id, earlier_id) of all batches."""
+        return self._table(self.log.latest()[1], "answers", "intake_id bigint, earlier_id bigint")
+
+    def take(self, batch: DataFrame, attempts: int = 5) -> DataFrame:
+        """(intake_id, earlier_id) for each file of ``batch`` with an earlier match, its own or a former batch's; then the
+        batch is appended. intake_ids must be greater than all that were taken before; an empty batch changes nothing."""
+        for _ in range(attempts):
+            last, content = self.log.latest()
+            data = self.log.stage()
+            ids = batch.agg(F.min(F.col("intake_id").cast("bigint")), F.max(F.col("intake_id").cast("bigint"))).first()
+            if ids[0] is None:
+                return self.log.tables([], "intake_id bigint, earlier_id bigint")
+            if ids[0] <= content.get("to", ids[0] - 1):
+                raise ValueError(f"ids up to {content['to']} were taken already")
+            state = self._append(batch, content, data)
+            if self.log.commit(last + 1, state | {"to": ids[1], "data": [*content.get("data", []), data]}):
+                return self.spark.read.parquet(f"{data}/answers")
+        raise RuntimeError(f"{attempts} commits in a row were taken by other runs")
+
+    def _append(self, batch: DataFrame, content: dict, data: str) -> dict:
         rows = hashed_sets(batch)
-        new = materialise(set_classes(rows), "batch")
-        sets = self._read("sets", "k1 bigint, k2 bigint, cid bigint, elements array<bigint>")
-        blocks = self._read("blocks", SIGNATURES)
-        contents = self._read("contents", "content_hash string, by_content bigint")
-        known = new.join(sets.select("k1", "k2", F.col("cid").alias("first")), ["k1", "k2"], "left")
-        fresh = materialise(known.where("first is null").drop("first"), "fresh")
-        # The order of elements must never change, so none is called frequent here; large buckets go round by round.
-        table = materialise(block_tables(fresh, np.zeros(0, np.uint64)), "fresh-blocks")
-        probed = blocks.join(table.select("sig").distinct(), "sig", "left_semi").unionByName(table)
-        all_sets = sets.select("cid", "elements").unionByName(fresh.select("cid", "elements"))
-        near = earliest_similar(all_sets, probed, fresh)
-        links = self._read("links", "late bigint, early bigint")
-        mine = materialise(near.select("late", "early"), "links")
-        first = known.select("k1", "k2", F.coalesce("first", "cid").alias("cid"))
-        best = first.join(links.unionByName(mine), F.col("cid") == F.col("late"), "left").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.least("cid", "early").alias("by_set"))
-        own = batch.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min("intake_id").alias("by_content"))
-        both = own.unionByName(contents.join(own.select("content_hash"), "content_hash", "left_semi")).groupBy(F.col("content_hash").alias("__hash")).agg(F.min("by_content").alias("by_content"))
-        joined = rows.join(best, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")), "left").join(both, F.col("content_hash") == F.col("__hash"), "left")
-        answer = joined.select("intake_id", F.least("by_set", "by_content").alias("earlier_id")).where(F.col("earlier_id") < F.col("intake_id"))
-        answer = materialise(answer, "answer")
-        newer = materialise(own.join(contents.select("content_hash"), "content_hash", "left_anti"), "contents")
-        fresh.select("k1", "k2", "cid", "elements").write.mode("append").parquet(f"{self.folder}/sets")
-        table.write.mode("append").parquet(f"{self.folder}/blocks")
-        mine.write.mode("append").parquet(f"{self.folder}/links")
-        newer.write.mode("append").parquet(f"{self.folder}/contents")
-        return answer
+        sets = self._table(content, "sets", self.SETS)
+        new = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("intake_id").alias("cid"), F.first("elements").alias("elements"), F.first("hashes").alias("hashes"))
+        known = materialise(new.join(sets.select("key", F.col("cid").alias("first")), "key", "left"), "batch-sets")
+        fresh = known.where("first is null").drop("first")
+
+        epochs, total = content.get("epochs", []), content.get("sets", 0) + fresh.count()
+        if not epochs or total > GROWTH * epochs[-1]["sets"]:
+            elements = sets.select("elements").unionByName(fresh.select("elements"))
+            epochs = [*epochs, {"sets": total, "hot": hot_elements(elements).view(np.int64).tolist()}]
+        signed = [block_tables(fresh, np.array(e["hot"], np.int64).view(np.uint64), k) for k, e in enumerate(epochs)]
+        signed[-1].write.parquet(f"{data}/blocks")
+        own = self.spark.read.parquet(f"{data}/blocks")
+        asked = materialise(reduce(DataFrame.unionByName, [*signed[:-1], own]), "asked") if len(signed) > 1 else own
+        met = self._table(content, "blocks", self.BLOCKS).join(broadcast_if_small(asked.select("sig").distinct()), "sig", "left_semi")
+        table = met.withColumn("fresh", F.lit(False)).unionByName(asked.withColumn("fresh", F.lit(True)))
+        columns = ["cid", "elements", "hashes"]
+        near = earliest_similar(sets.select(*columns).unionByName(fresh.select(*columns)), table)
+        near.select("late", "early").write.parquet(f"{data}/links")
+
+        links = self._table(content | {"data": [*content.get("data", []), data]}, "links", "late bigint, early bigint")
+        best = known.select("key", F.coalesce("first", "cid").alias("cid")).join(links, F.col("cid") == F.col("late"), "left").select(F.col("key").alias("__key"), F.least("cid", "early").alias("by_set"))
+        mine = batch.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min(F.col("intake_id").cast("bigint")).alias("by_content"))
+        contents = self._table(content, "contents", "content_hash string, by_content bigint")
+        before = contents.select(F.col("content_hash").alias("__hash"), F.col("by_content").alias("__before"))
+        mine = mine.join(before, F.col("content_hash") == F.col("__hash"), "left")
+        joined = rows.select("intake_id", "content_hash", "key").join(best, F.col("key") == F.col("__key"), "left")
+        joined = joined.join(mine.select(F.col("content_hash").alias("__content"), F.least("by_content", "__before").alias("by_content")), F.col("content_hash") == F.col("__content"), "left")
+        answers = joined.select("intake_id", F.least("by_set", "by_content").alias("earlier_id")).where(F.col("earlier_id") < F.col("intake_id"))
+        answers.write.parquet(f"{data}/answers")
+        mine.where("__before is null").select("content_hash", "by_content").write.parquet(f"{data}/contents")
+        fresh.select("key", "cid", "elements", "hashes").write.option("compression", "zstd").parquet(f"{data}/sets")
+        return {"epochs": epochs, "sets": total}
+
+
+def earliest_matches(files: DataFrame, batch: str | None = None, deliveries: int = 1, folder: str | None = None) -> DataFrame:
+    """(intake_id, earlier_id): for each file the smallest earlier intake_id with an equal content_hash or a similar
+    set of chunks, where there is one. The files go through a history (at ``folder``, else for this run only) in
+    ``deliveries`` of equally many numbers of the column ``batch``, or at once.
+
+    Equal sets are one class, so copies never meet in pairs; near-duplicates are found between classes. Null content
+    hashes match nothing, and files without chunks match by content only. Batches must follow each other by intake_id;
+    files without a batch number come with the last.
+    """
+    spark = files.sparkSession
+    history = History(spark, folder or scratch_path(spark, "history"))
+    if batch is None or deliveries == 1:
+        history.take(files)
+        return history.answers()
+    lo, hi = files.agg(F.min(batch), F.max(batch)).first()
+    if lo is None:
+        lo = hi = 0
+    turn = F.coalesce(F.floor((F.col(batch) - lo) * deliveries / (hi - lo + 1)), F.lit(deliveries - 1))
+    for k in range(deliveries):
+        history.take(files.where(turn == k))
+    return history.answers()

@@ -150,7 +150,7 @@ def pack(items: DataFrame, kinds: list[tuple[str, int]], partitions: int) -> Dat
     """Where every token goes: container_kind, capacity, container_id, doc_id, token_start, token_count, position
     (of the first of these tokens in the container). ``items``: doc_id, tokens, curve, each at least one token.
 
-    An item larger than the capacity is cut, any other stays whole. Container ids are unique within a kind. The
+    An item larger than the capacity is cut, any other stays whole. Container ids are unique within a kind and capacity. The
     order of equal curve keys is that of doc_id; repeated items are placed as often as they come.
     """
     spread = items.repartitionByRange(partitions, "curve", "doc_id").sortWithinPartitions("curve", "doc_id").withColumn("part", F.spark_partition_id())
@@ -162,7 +162,7 @@ def pack(items: DataFrame, kinds: list[tuple[str, int]], partitions: int) -> Dat
         def emit():
             doc, size = (np.concatenate(c) for c in zip(*pending))
             pending.clear()
-            for kind, packer in packers.items():
+            for (kind, _), packer in packers.items():
                 columns = _pack_window(packer, doc, size)
                 packer.close(CARRIED)
                 n = len(columns[0])
@@ -175,7 +175,7 @@ def pack(items: DataFrame, kinds: list[tuple[str, int]], partitions: int) -> Dat
             if not len(batch):
                 continue
             if packers is None:
-                packers = {kind: Packer(capacity, batch.column("part")[0].as_py() << 40) for kind, capacity in kinds}
+                packers = {(kind, capacity): Packer(capacity, batch.column("part")[0].as_py() << 40) for kind, capacity in kinds}
             pending.append((batch.column("doc_id").to_numpy(), batch.column("tokens").to_numpy()))
             if sum(len(d) for d, _ in pending) >= WINDOW:
                 yield from emit()

@@ -9,29 +9,39 @@ from siltbed.llm import abuse, bpe, near, packing, seen
 from siltbed.session import materialise, parallelism, table
 
 
-def _answers(spark: SparkSession, d: str, bits: int = seen.FINGERPRINT_BITS, span: int | None = None) -> DataFrame:
-    keys, expected = seen.list_keys(table(spark, d, "alive_index"), "hashes")
-    blobs = table(spark, d, "blobs")
-    expected = max(expected, blobs.count())
-    store = materialise(seen.build_store(keys, "key", expected, bits), "seen-store")
-    return seen.probe_store(store, blobs, "hash", "put_id", expected, bits, span)
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The lists of alive_index enter a store; the rows of blobs are then taken in turns of put_id, each probed and merged."""
+    keys, listed = seen.list_keys(table(spark, d, "alive_index"), "hashes")
     rows = table(spark, d, "blobs").select("put_id", "hash")
-    span = seen.turn_span(rows, "put_id")
-    return seen.seen_rows(rows, "hash", "put_id", _answers(spark, d, span=span), span).select("put_id")
+    expected, span = max(listed, rows.count()), seen.turn_span(rows, "put_id")
+    known = seen.SeenKeys(spark)
+    known.add(keys, "key", expected)
+    return seen.seen_rows(rows, "hash", "put_id", known.take(rows, "hash", "put_id", expected, span), span).select("put_id")
 
 
 def p4_rate(spark: SparkSession, d: str) -> DataFrame:
     """The rate of wrong answers of the fingerprints alone, at three widths: against the store and against all keys with
-    a smaller put_id."""
-    rates = [seen.wrong_rate(_answers(spark, d, bits), earlier=True).withColumn("bits", F.lit(bits)) for bits in (24, 32, seen.FINGERPRINT_BITS)]
-    return rates[0].unionByName(rates[1]).unionByName(rates[2])
+    a smaller put_id. The lists are read once."""
+    keys, listed = seen.list_keys(table(spark, d, "alive_index"), "hashes")
+    keys, blobs = materialise(seen.valid(keys, "key").distinct(), "seen-keys"), table(spark, d, "blobs")
+    expected = max(listed, blobs.count())
+
+    def rate(bits: int) -> DataFrame:
+        store = materialise(seen.build_store(keys, "key", expected, bits), "seen-store")
+        return seen.wrong_rate(seen.probe_store(store, blobs, "hash", "put_id", expected, bits), earlier=True).withColumn("bits", F.lit(bits))
+
+    return rate(24).unionByName(rate(32)).unionByName(rate(seen.FINGERPRINT_BITS))
+
+
+def p4_size(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes a key of the store over all lists: the code, and the rest beside it."""
+    keys, listed = seen.list_keys(table(spark, d, "alive_index"), "hashes")
+    return seen.store_size(seen.build_store(keys, "key", listed))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return near.earliest_matches(table(spark, d, "intake_files")).select("earlier_id", "intake_id")
+    """The batches go through a history in three deliveries, each looked up and then appended."""
+    return near.earliest_matches(table(spark, d, "intake_files"), "batch_no", 3).select("earlier_id", "intake_id")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -69,12 +79,20 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), hits.alias("abusive"), (hits / F.count(F.lit(1))).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_rate, p5_found, p8_ids, p9_placed, p9_rates, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_rate, p4_size, p5_found, p8_ids, p9_placed, p9_rates, p10_found, p10_scores, p10_rates)}
 
 ORACLE = {
     "p4_found": """
 WITH k AS (SELECT DISTINCT unnest(hashes) AS hash FROM alive_index), f AS (SELECT hash, min(put_id) AS first FROM blobs GROUP BY hash)
 SELECT put_id FROM blobs JOIN f USING (hash) WHERE regexp_full_match(hash, '[0-9a-f]{64}') AND (put_id > first OR hash IN (SELECT hash FROM k WHERE hash IS NOT NULL))""",
+    "p4_rate": """
+WITH k AS (SELECT DISTINCT hash FROM (SELECT unnest(hashes) AS hash FROM alive_index) WHERE regexp_full_match(hash, '[0-9a-f]{64}')),
+f AS (SELECT hash, min(put_id) AS first FROM blobs WHERE regexp_full_match(hash, '[0-9a-f]{64}') GROUP BY hash),
+w AS (SELECT unnest([24, 32, 56]) AS bits),
+p AS (SELECT bits, hash, hash IN (SELECT hash FROM k) AS held, row_number() OVER (PARTITION BY bits, substr(hash, 1, bits // 4) ORDER BY first) > 1
+  OR EXISTS (SELECT 1 FROM (SELECT DISTINCT bits AS b, substr(hash, 1, bits // 4) AS print FROM k, w) s WHERE s.b = bits AND s.print = substr(hash, 1, bits // 4)) AS hit FROM f, w)
+SELECT count(*) AS keys, count(*) FILTER (held) AS seen, count(*) FILTER (hit AND NOT held) AS wrong,
+  coalesce(count(*) FILTER (hit AND NOT held) / nullif(count(*) FILTER (NOT held), 0), 0) AS wrong_rate, bits FROM p GROUP BY bits""",
     "p5_found": """
 WITH c AS (SELECT DISTINCT intake_id, unnest(chunks).hash AS h FROM intake_files), n AS (SELECT intake_id, count(h) AS n FROM c WHERE h IS NOT NULL GROUP BY 1),
 near AS (SELECT a.intake_id AS earlier_id, b.intake_id FROM c a JOIN c b ON a.h = b.h AND a.intake_id < b.intake_id GROUP BY 1, 2

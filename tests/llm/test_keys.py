@@ -126,6 +126,36 @@ def test_merged_store_equals_one_built_at_once(spark):
     assert seen.probe_store(empty, two.withColumn("n", F.lit(1)), "key", "n", 0).where("in_store").count() == 0
 
 
+def test_a_store_that_outgrows_its_partitions(spark):
+    keys = spark.createDataFrame([(sha(i),) for i in range(50)], "key string")
+    store = seen.build_store(keys, "key", 50)
+    large = seen.merge_store(store, keys, "key", seen.PARTITION_KEYS * 256 + 1)
+    assert large.agg(F.sum("n")).first()[0] == 50 and {r.digits for r in large.select("digits").collect()} == {3}
+    assert {bytes(r.key).hex() for r in seen.stored_keys(large).collect()} == {sha(i) for i in range(50)}
+    batch = spark.createDataFrame([(i, sha(i)) for i in range(40, 60)], "put_id long, hash string")
+    assert {bytes(r.key).hex() for r in seen.probe_store(large, batch, "hash", "put_id", 7).where("in_store").collect()} == {sha(i) for i in range(40, 50)}
+    assert seen.store_size(store).first().rest_bytes == 25  # 7 of 32 bytes are told by the partition and the code
+    keys = seen._sorted(np.random.default_rng(2).integers(0, 256, (20_000, 32), np.uint8) & np.array([0] + [255] * 31, np.uint8))
+    row = seen._coded("00", keys, 2, 56)
+    assert (seen._keys(row) == keys).all() and sum(len(row.column(c)[0].as_py()) for c in ("highs", "lows", "rest")) / 20_000 < 25 + 4.5
+
+
+def test_seen_keys_on_disk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(seen, "PARTITION_KEYS", 1)  # more than 256 keys want three digits
+    known = seen.SeenKeys(spark, f"file://{tmp_path}/s")
+    known.add(spark.createDataFrame([(sha(i),) for i in range(100)], "key string"), "key", 100)
+    batch = lambda *some: spark.createDataFrame([(i, sha(i)) for i in some], "put_id long, hash string")
+    held = lambda answers: {bytes(r.key).hex() for r in answers.where("in_store").collect()}
+    commit = known.log.commit
+    monkeypatch.setattr(known.log, "commit", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        known.take(batch(*range(90, 400)), "hash", "put_id", 100)
+    monkeypatch.setattr(known.log, "commit", commit)
+    assert held(known.take(batch(*range(90, 400)), "hash", "put_id", 100)) == {sha(i) for i in range(90, 100)}
+    assert {r.digits for r in known.store().select("digits").collect()} == {3}
+    assert held(known.take(batch(5, 399, 400), "hash", "put_id", 100)) == {sha(5), sha(399)} and known.log.latest()[1]["keys"] == 401
+
+
 # ---- near-duplicates ------------------------------------------------------------------------------------------
 
 INTAKE = "intake_id long, batch_no int, content_hash string, chunks array<struct<hash:string,size:bigint>>"
@@ -201,14 +231,25 @@ def test_no_pair_is_lost_between_block_tables():
                 assert by[2 * i] & by[2 * i + 1], (a, b)
 
 
-def test_history_in_batches_equals_all_at_once(spark, tmp_path):
-    files = family(random.Random(4), 180, 0.2)
+def test_history_in_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(near, "HOT_LEAST", 20)
+    monkeypatch.setattr(near, "GROWTH", 1)  # a new epoch with every batch
+    files = family(random.Random(4), 180, 0.3)
     history = near.History(spark, f"file://{tmp_path}/history")
-    got = set()
+    crash, got = history.log.commit, set()
     for start in range(0, 180, 60):
         batch = spark.createDataFrame(files[start : start + 60], INTAKE)
+        if start == 60:  # dies between its last write and the commit
+            monkeypatch.setattr(history.log, "commit", lambda *_: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                history.take(batch)
+            monkeypatch.setattr(history.log, "commit", crash)
         got |= {(r.intake_id, r.earlier_id) for r in history.take(batch).collect()}
-    assert got == brute(files)
+    assert got == brute(files) == {tuple(r) for r in history.answers().collect()}
+    assert len(history.log.latest()[1]["epochs"]) == 3
+    with pytest.raises(ValueError, match="taken already"):
+        history.take(spark.createDataFrame(files[:5], INTAKE))
+    assert history.take(spark.createDataFrame([], INTAKE)).count() == 0 and history.log.sweep() == 1
 
 
 @pytest.mark.parametrize("anchors", [64, 2])
@@ -230,6 +271,13 @@ def test_history_pairs_no_old_sets_with_old_ones(spark, tmp_path, monkeypatch, a
     assert compared and min(compared) > 6
 
 
+def test_a_match_is_verified_on_the_hashes_themselves(spark, monkeypatch):
+    files = [(1, 1, None, [(f"a{k}", 1) for k in range(9)]), (2, 1, None, [(f"b{k}", 1) for k in range(9)] + [("x", 1)])]
+    # The last character alone decides a 64-bit hash: the two sets look nearly equal.
+    monkeypatch.setattr(near.F, "xxhash64", lambda c: F.conv(F.hex(F.substring(F.hex(c), -2, 2)), 16, 10).cast("bigint") * 1000003)
+    assert near.earliest_matches(spark.createDataFrame(files, INTAKE)).count() == 0
+
+
 def test_empty_and_single(spark):
     none = spark.createDataFrame([], INTAKE)
     assert near.earliest_matches(none).count() == 0

@@ -263,3 +263,52 @@ def test_scores_of_odd_rows(spark):
     assert by == {(900, False), (901, False), (None, False)}
     assert max(r.score for r in got if r.doc_id == 902) > 0.5
     assert abuse_scores(df.where("false"), labels).count() == 0
+
+
+def _library(texts):
+    import json
+
+    from tokenizers import Tokenizer
+
+    model = json.loads(open(f"{bpe.TOKENIZERS}/{bpe.NAME}.json", encoding="utf-8").read()) | {"added_tokens": []}
+    return [Tokenizer.from_str(json.dumps(model)).encode(t, add_special_tokens=False).ids if t else [] for t in texts]
+
+
+def _encoded(encoder, texts):
+    ids, sizes, _ = encoder.encode(*bpe.text_bytes(pa.array(texts)))
+    return [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
+def test_words_that_polynomial_hashes_confuse():
+    row = np.zeros(1, np.uint8)
+    while len(row) < 2048:
+        row = np.concatenate([row, 1 - row])
+    one, other = (bytes((97 + r).tolist()).decode() for r in (row, 1 - row))
+    texts = [one, other, one + other, f"{one} {other}"]
+    encoder = bpe.Encoder(bpe.load())
+    assert _encoded(encoder, texts[:1]) + _encoded(encoder, texts[1:]) == _library(texts)
+
+
+def test_equal_hashes_of_different_pieces(monkeypatch):
+    plain = bpe.Encoder.pieces
+
+    def poor(self, data, bounds):
+        starts, lengths, hashes = plain(self, data, bounds)
+        return starts, lengths, hashes % np.uint64(3)
+
+    monkeypatch.setattr(bpe.Encoder, "pieces", poor)
+    texts = ["def main(): return 1", "", "int main() { return 12345; }", "x" * 300 + " " + "y" * 300, "main main"]
+    encoder = bpe.Encoder(bpe.load())
+    assert [_encoded(encoder, [t])[0] if t else [] for t in texts] == _library(texts) == _encoded(encoder, texts)
+
+
+def test_long_pieces_of_any_length():
+    r = np.random.default_rng(4)
+    texts = ["a" * n for n in (191, 192, 193, 385, 5000)] + ["-" * 700 + "=" * 77, "ab" * 500 + "a", "é" * 999 + "漢字" * 700, "".join(chr(97 + c) for c in r.integers(0, 4, 3000)), bytes(r.integers(97, 123, 2000).tolist()).decode()]
+    assert _encoded(bpe.Encoder(bpe.load()), texts) == _library(texts)
+
+
+def test_two_capacities_of_one_kind(spark):
+    items = spark.createDataFrame([(1, 30, 0), (2, 50, 1), (3, 7, 2)], "doc_id long, tokens long, curve long")
+    placed = packing.pack(items, [("k", 40), ("k", 100)], 1).groupBy("capacity").sum("token_count").collect()
+    assert {tuple(r) for r in placed} == {(40, 87), (100, 87)}
