@@ -20,6 +20,8 @@ ZSTD_MAGIC, ZLIB_FIRST, SNAPPY_MAGIC = b"\x28\xb5\x2f\xfd", 0x78, b"\xff\x06\x00
 
 class Codec:
     name = "none"
+    #: What a damaged stream raises beside ValueError.
+    Error: type[Exception] = ValueError
 
     def __init__(self, level: int = 0, limit: int = CHUNK_LIMIT):
         self.level, self.limit = level, limit
@@ -41,6 +43,7 @@ class Zstd(Codec):
         import zstandard
 
         super().__init__(level if 1 <= level <= 22 else 1, limit)
+        self.Error = zstandard.ZstdError
         self._in, self._out = zstandard.ZstdCompressor(level=self.level), zstandard.ZstdDecompressor(max_window_size=1 << 27)
 
     def compress(self, data: bytes) -> bytes:

@@ -164,6 +164,14 @@ def open_gb2(frame: Column, key: Column) -> Column:
     return join_gb2(F.transform(split_gb2(frame), lambda p: F.struct(p["flag"].alias("flag"), F.try_aes_decrypt(p["sealed"], key, F.lit("GCM"), F.lit("DEFAULT")).alias("data"))))
 
 
+def open_any(content: Column, key: Column, piece: int) -> Column:
+    """Plaintext of whatever frame ``content`` is; less than four bytes are no frame and pass as they are. Null for a frame
+    that does not open and for content that is no frame at all."""
+    magic = F.substring(content, 1, 4)
+    second = open_gb2(F.when(magic == F.lit(GB2), content), key)
+    return F.when(F.octet_length(content) < 4, content).when(magic == F.lit(GB2), second).otherwise(open_frame(content, key, piece))
+
+
 def hkdf_sha256(master: bytes, purpose: bytes, length: int = 32) -> bytes:
     """RFC 5869 with the purpose as salt and no info."""
     key, out, block, n = hmac.new(purpose or b"\x00" * 32, master, hashlib.sha256).digest(), b"", b"", 1

@@ -147,6 +147,27 @@ def with_instant(df: DataFrame, raw: str, zone: str, locale: str, out: str) -> D
     return df.drop(*(c for c in df.columns if c.startswith("__i_")))
 
 
+def number_micros(raw: Column) -> Column:
+    """Microseconds of a whole number in text: above 10^14 it is microseconds, above 10^11 milliseconds, else seconds."""
+    n = raw.try_cast("bigint")
+    return F.when(n > 10**14, n).when(n > 10**11, n * 1000).otherwise(n * 1_000_000)
+
+
+def flexible_text(raw: Column) -> Column:
+    """A time as a document holds it, as text: a whole number becomes RFC 3339 with as many digits of the second as it
+    needs, anything else stays as it is."""
+    micros = number_micros(raw)
+    stamp = F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss")
+    part = F.rtrim(F.lpad(F.pmod(micros, F.lit(1_000_000)).cast("string"), 6, "0"), F.lit("0"))
+    return F.when(raw.rlike("^-?[0-9]{1,18}$"), F.concat(stamp, F.when(part == "", "").otherwise(F.concat(F.lit("."), part)), F.lit("Z"))).otherwise(raw)
+
+
+def rfc3339_micros(raw: Column) -> Column:
+    """Microseconds of an RFC 3339 time, 0 for anything else; a bare date is none."""
+    form = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
+    return F.coalesce(F.when(raw.rlike(form), F.unix_micros(F.try_to_timestamp(F.regexp_replace(raw, r"(\.\d{6})\d*", "$1")))), F.lit(0))
+
+
 class InstantDictionary:
     """The distinct (raw, zone, locale) values met so far with their instants, each parsed once, as a table that grows by
     commits (see ``commits``) of the values not yet in it. A run that finds its commit taken by another looks again for

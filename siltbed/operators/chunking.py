@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,63 @@ def cdc_chunks(files: DataFrame, key: str, content: str, polynomial: int = POLYN
     return files.select(key, F.col(content).cast("binary").alias("content")).mapInArrow(work, f"{key} {kind}, seq int, chunk_offset bigint, size bigint, hash string, file_hash string")
 
 
+def route(size: Column, least: int = CHUNK_BYTES) -> Column:
+    """Contents of at least ``least`` bytes are cut into chunks, the others are stored whole."""
+    return F.when(size >= least, "chunked").when(size.isNotNull(), "whole")
+
+
+def ordered_hash(chunks: DataFrame, key: str, seq: str, piece: str) -> DataFrame:
+    """key, bytes, hash: the SHA-256 over all pieces of a key in their order, one after the other; no content is ever put
+    together, so it may be of any size."""
+    kind = dict(chunks.dtypes)[key]
+    ordered = chunks.select(F.col(key).alias("key"), F.col(seq).alias("seq"), F.col(piece).cast("binary").alias("piece")).repartition("key").sortWithinPartitions("key", "seq")
+
+    def work(batches):
+        now, whole, size = None, None, 0
+        for batch in batches:
+            done = []
+            for k, data in zip(batch.column("key").to_pylist(), batch.column("piece")):
+                if whole is None or k != now:
+                    if whole is not None:
+                        done.append((now, size, whole.hexdigest()))
+                    now, whole, size = k, hashlib.sha256(), 0
+                whole.update(data.as_buffer() or b"")
+                size += len(data.as_buffer() or b"")
+            yield row(done, batch.schema.field(0).type)
+            last = batch.schema.field(0).type
+        if whole is not None:
+            yield row([(now, size, whole.hexdigest())], last)
+
+    def row(done, type_):
+        columns = list(zip(*done)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], type_), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=[key, "bytes", "hash"])
+
+    return ordered.mapInArrow(work, f"{key} {kind}, bytes bigint, hash string")
+
+
+def is_irreducible(polynomial: int) -> bool:
+    """Whether a polynomial of prime degree over GF(2) has no factors (M. Rabin, 1980): it has no root, and x to the power
+    of 2**degree is x modulo it."""
+    degree = polynomial.bit_length() - 1
+    if not polynomial & 1 or polynomial.bit_count() % 2 == 0:
+        return False
+    power = 2
+    for _ in range(degree):
+        square = int(bin(power)[2:], 4)  # squaring over GF(2) puts zeros between the bits
+        while square.bit_length() > degree:
+            square ^= polynomial << (square.bit_length() - 1 - degree)
+        power = square
+    return power == 2
+
+
+def random_polynomial(degree: int = 53) -> int:
+    """An irreducible polynomial of a prime degree, drawn by the operating system's random numbers."""
+    while True:
+        drawn = (1 << degree) | secrets.randbits(degree) | 1
+        if is_irreducible(drawn):
+            return drawn
+
+
 def reassemble(chunks: DataFrame, key: str, seq: str, piece: str) -> DataFrame:
     """key, content: the pieces in order. A file's pieces must fit one row, as a restored file's content must."""
     ordered = F.array_sort(F.collect_list(F.struct(seq, piece)))

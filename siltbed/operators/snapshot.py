@@ -21,7 +21,24 @@ def classify(current: DataFrame, previous: DataFrame) -> DataFrame:
     before = previous.select("path", F.col("size").alias("was_size"), F.col("content_hash").alias("was_hash"), F.lit(True).alias("there"))
     both = now.join(before, "path", "full")
     status = F.when(F.col("here").isNull(), "deleted").otherwise(status_of(F.col("there").isNotNull(), F.col("now_hash"), F.col("was_hash")))
-    return both.select("path", status.alias("status"), F.coalesce("now_size", "was_size").alias("size"), F.coalesce("now_hash", "was_hash").alias("content_hash"))
+    return both.select("path", status.alias("status"), F.when(F.col("here").isNull(), F.col("was_size")).otherwise(F.col("now_size")).alias("size"), F.when(F.col("here").isNull(), F.col("was_hash")).otherwise(F.col("now_hash")).alias("content_hash"))
+
+
+def classify_pairs(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The same from rows of both sides (``back`` 1: the snapshot, 2: the one before it) by one aggregation: of rows that
+    share a key and side the one with the greatest ``pos`` counts. Needs size and content_hash."""
+    at = lambda n: F.max(F.when(F.col("back") == n, F.struct("pos", "content_hash", "size")))
+    both = rows.where(F.col("back").isin(1, 2)).groupBy(*key).agg(at(1).alias("now"), at(2).alias("was"))
+    status = F.when(F.col("now").isNull(), "deleted").otherwise(status_of(F.col("was").isNotNull(), F.col("now.content_hash"), F.col("was.content_hash")))
+    held = F.coalesce("now", "was")
+    return both.select(*key, status.alias("status"), held["size"].alias("size"), held["content_hash"].alias("content_hash"))
+
+
+def scan_counters(scan: DataFrame) -> DataFrame:
+    """One row: files by outcome, those that failed or were locked or skipped too; any other status is ``other``."""
+    names = {"new": "new_files", "changed": "changed_files", "unchanged": "unchanged_files", "error": "failed_files", "locked": "locked_files", "skipped": "skipped_files"}
+    status = F.coalesce("status", F.lit(""))
+    return scan.agg(*[F.count_if(status == s).alias(n) for s, n in names.items()], F.count_if(~status.isin(*names)).alias("other_files"))
 
 
 def is_fast_unchanged(mtime: Column, size: Column, was_mtime: Column, was_size: Column, was_hash: Column) -> Column:

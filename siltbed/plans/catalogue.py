@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltbed.functions import codecs, frames
-from siltbed.functions.paths import DENSE_EXTENSIONS, ancestors, cloud_key, is_cloud_id, is_dense, is_hash, safe_relative, toggle_leading_dot
+from siltbed.functions.instants import flexible_text, number_micros, rfc3339_micros
+from siltbed.functions.paths import ancestors, cloud_key, is_cloud_id, is_dense, is_hash, safe_relative, toggle_leading_dot
 from siltbed.operators import chunking, predicates, snapshot, store
 from siltbed.operators.snapshots import normal_path
 from siltbed.session import broadcast_if_small, scratch_path, table
@@ -45,14 +46,23 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "manifest_files").select(normal_path(F.col("path")).alias("path")).distinct()
 
 
-def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Each source's latest manifest and the one before it, by order of arrival; keys are source and path."""
+def _last_two(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of each source's latest manifest (back 1) and the one before it (back 2), by order of arrival. The join
+    with these few manifests comes first; repeated rows fall together in whatever aggregates them."""
     order = Window.partitionBy("cloud_id").orderBy(F.desc("manifest_id"))
     last = table(spark, d, "manifests").select("cloud_id", "manifest_id").distinct().withColumn("back", F.row_number().over(order)).where("back <= 2")
-    rows = _entries(spark, d).join(broadcast_if_small(last), "manifest_id")
-    won = rows.withColumn("nth", F.row_number().over(Window.partitionBy("manifest_id", "path").orderBy(F.desc("pos")))).where("nth = 1")
-    keyed = won.select(F.concat("cloud_id", F.lit(":"), "path").alias("path"), "back", "content_hash", "size", "mtime", "status")
-    return keyed.where("back = 1").drop("back"), keyed.where("back = 2").drop("back")
+    rows = table(spark, d, "manifest_files").select("manifest_id", "pos", normal_path(F.col("path")).alias("path"), "content_hash", "size", "mtime", "status")
+    return rows.join(broadcast_if_small(last), "manifest_id").withColumn("path", F.concat("cloud_id", F.lit(":"), "path"))
+
+
+def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The two as tables of one row per source and path."""
+    won = _last_two(spark, d).groupBy("path", "back").agg(F.max(F.struct("pos", "content_hash", "size", "mtime", "status")).alias("e")).select("path", "back", "e.*")
+    return won.where("back = 1").drop("back", "pos"), won.where("back = 2").drop("back", "pos")
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    return snapshot.classify_pairs(_last_two(spark, d), ["path"])
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +114,18 @@ def merge_excludes(spark, d):
     return table(spark, d, "source_registry").select("source_id", F.array_join(F.array_sort(merged), "|").alias("merged"))
 
 
-@query(f"WITH {_PATHS} SELECT path, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '\\.([^.]*)$', 1)) IN (SELECT unnest(string_split('{','.join(DENSE_EXTENSIONS)}', ','))) AS dense FROM paths")
+# Extensions of content that is compressed already.
+_DENSE = (
+    "jpg jpeg png gif bmp tiff tif webp heic heif avif ico raw cr2 nef orf arw dng rw2 psd psb mp4 avi mkv mov wmv "
+    "flv webm m4v mpg mpeg 3gp 3g2 ts mts vob m2ts rm rmvb mp3 aac flac ogg wma m4a wav opus aiff alac amr ape wv "
+    "tta zip zipx rar rar5 7z gz bz2 xz zst lz4 tar tgz lz lzma br sz cab arj ace lha lzh arc uha kgb z zz sit sitx "
+    "brotli iso dmg img bin nrg mdf mds ccd sub vmdk vdi vhd vhdx qcow2 qcow qed ova ovf xva wim esd squashfs cramfs "
+    "gho tib tibx vbk vib adi fbk sna pdf docx xlsx pptx odt ods odp doc xls ppt epub mobi azw3 cbr cbz exe dll so "
+    "dylib jar war apk ipa deb rpm pkg msi app appx msix nupkg"
+)
+
+
+@query(f"WITH {_PATHS} SELECT path, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '\\.([^.]*)$', 1)) IN (SELECT unnest(string_split('{_DENSE}', ' '))) AS dense FROM paths")
 def incompressible_flag(spark, d):
     return _paths(spark, d).select("path", is_dense(F.col("path")).alias("dense"))
 
@@ -114,8 +135,8 @@ def valid_hash_filter(spark, d):
     return table(spark, d, "blobs").select("put_id", is_hash(F.col("hash")).alias("ok"))
 
 
-@query(r"""SELECT source_id, device_id || '/' || cloud_id AS id, true AS ok, coalesce(path <> '' AND NOT regexp_matches(path, '^[/\\]') AND NOT regexp_matches(path, '^[A-Za-z]:')
-AND NOT regexp_matches(path, '(^|[/\\]) *\.\. *([/\\]|$)'), false) AS path_ok FROM source_registry""")
+@query(r"""SELECT source_id, id, NOT (starts_with(id, '/') OR starts_with(id, '\') OR (id[2:2] = ':' AND regexp_matches(id[1:1], '[A-Za-z]')) OR list_contains(list_transform(string_split_regex(id, '[/\\]'), lambda x: trim(x)), '..')) AS ok, coalesce(path <> '' AND NOT regexp_matches(path, '^[/\\]') AND NOT regexp_matches(path, '^[A-Za-z]:')
+AND NOT regexp_matches(path, '(^|[/\\]) *\.\. *([/\\]|$)'), false) AS path_ok FROM (SELECT source_id, path, CASE WHEN coalesce(device_id, '') = '' THEN cloud_id ELSE device_id || '/' || cloud_id END AS id FROM source_registry)""")
 def valid_cloud_id(spark, d):
     key = cloud_key(F.col("device_id"), F.col("cloud_id"))
     return table(spark, d, "source_registry").select("source_id", key.alias("id"), is_cloud_id(key).alias("ok"), is_cloud_id(F.col("path")).alias("path_ok"))
@@ -146,7 +167,7 @@ WHEN c.content_hash IS DISTINCT FROM p.content_hash THEN 'changed' ELSE 'unchang
 
 @query(_CLASSES + " SELECT status, count(*) AS files, sum(size)::BIGINT AS bytes FROM cls GROUP BY status")
 def snapshot_diff(spark, d):
-    return snapshot.status_counts(snapshot.classify(*_snapshots(spark, d)))
+    return snapshot.status_counts(_classified(spark, d))
 
 
 @query(_CLASSES + " SELECT path, status, size FROM cls")
@@ -158,7 +179,7 @@ def snapshot_status_rows(spark, d):
 count(*) FILTER (status = 'changed') AS changed_files, count(*) FILTER (status = 'unchanged') AS unchanged_files, count(*) FILTER (status = 'deleted') AS deleted_files,
 coalesce(sum(size) FILTER (status IN ('new', 'changed')), 0)::BIGINT AS new_bytes, coalesce(count(*) FILTER (status = 'unchanged') / nullif(count(*) FILTER (status <> 'deleted'), 0), 0) AS dedup_ratio FROM cls""")
 def manifest_stats(spark, d):
-    return snapshot.snapshot_stats(snapshot.classify(*_snapshots(spark, d)))
+    return snapshot.snapshot_stats(_classified(spark, d))
 
 
 @query(f"WITH {_LAST} SELECT c.path FROM cur c JOIN prev p ON c.path = p.path WHERE c.mtime = p.mtime AND c.size = p.size AND length(p.content_hash) >= 2")
@@ -231,7 +252,7 @@ def chunk_size_stats(spark, d):
 @query("SELECT doc_id, octet_length(encode(text)) AS bytes, CASE WHEN octet_length(encode(text)) >= 4096 THEN 'chunked' ELSE 'whole' END AS route FROM documents WHERE text IS NOT NULL")
 def chunk_route(spark, d):
     size = F.octet_length("text").cast("bigint")
-    return _documents(spark, d).where("text is not null").select("doc_id", size.alias("bytes"), F.when(size >= 4096, "chunked").otherwise("whole").alias("route"))
+    return _documents(spark, d).where("text is not null").select("doc_id", size.alias("bytes"), chunking.route(size, 4096).alias("route"))
 
 
 @query(f"WITH {_BLOBLIST} SELECT hash, min(intake_id) AS intake_id FROM (SELECT content_hash AS hash, intake_id FROM intake_files WHERE regexp_full_match(content_hash, '[0-9a-f]{{64}}')) WHERE hash NOT IN (SELECT hash FROM stored) GROUP BY hash")
@@ -255,25 +276,25 @@ _REFS = f"""{_ENT}, ch AS (SELECT DISTINCT ref_id, entry_id, seq, hash, size FRO
 UNION ALL SELECT content_hash FROM ent WHERE content_hash <> '' AND entry_id NOT IN (SELECT entry_id FROM ch))"""
 
 
-def _with_chunks(spark, d):
-    chunks = table(spark, d, "file_chunks").select("ref_id", "entry_id", "seq", "hash", "size").distinct()
-    lists = chunks.groupBy("entry_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "hash", "size"))), lambda c: F.struct(c.hash.alias("hash"), c.size.alias("size"))).alias("chunks"))
-    return _entries(spark, d).join(lists, "entry_id", "left")
+def _references(spark, d):
+    chunks = table(spark, d, "file_chunks").select("ref_id", "entry_id", "hash").distinct()
+    entries = table(spark, d, "manifest_files").select("entry_id", "content_hash").distinct()
+    return store.row_references(entries, chunks.select("entry_id", "hash"), "entry_id")
 
 
 @query(f"WITH {_REFS} SELECT DISTINCT hash FROM refs")
 def alive_hashes_set(spark, d):
-    return store.alive_set(_with_chunks(spark, d))
+    return _references(spark, d).distinct()
 
 
 @query(f"WITH {_REFS} SELECT hash, count(*) AS refs FROM refs GROUP BY hash")
 def alive_hashes_multiset(spark, d):
-    return store.references(_with_chunks(spark, d)).groupBy("hash").agg(F.count(F.lit(1)).alias("refs"))
+    return _references(spark, d).groupBy("hash").agg(F.count(F.lit(1)).alias("refs"))
 
 
 @query(f"WITH {_REFS}, {_BLOBLIST} SELECT hash FROM stored WHERE hash NOT IN (SELECT hash FROM refs)")
 def garbage_blobs(spark, d):
-    return store.garbage(_stored(spark, d), store.alive_set(_with_chunks(spark, d)))
+    return store.garbage(_stored(spark, d), _references(spark, d))
 
 
 @query(f"WITH {_BLOBLIST} SELECT entry_id, bool_and(hash IS NOT NULL AND hash IN (SELECT hash FROM stored)) AS present FROM (SELECT DISTINCT ref_id, entry_id, hash FROM file_chunks) GROUP BY entry_id")
@@ -369,10 +390,11 @@ def manifest_v1_migration(spark, d):
     return mf.files_of(mf.parsed(documents, "doc"), ["manifest_id"]).select("manifest_id", "path", "size")
 
 
-@query(f"WITH {_ENT} SELECT manifest_id, arg_min(entry_id, pos) AS entry_id FROM ent WHERE path LIKE '%readme%' GROUP BY manifest_id")
+@query(f"WITH {_ENT} SELECT manifest_id, path, first(entry_id ORDER BY pos, entry_id) AS entry_id FROM ent WHERE path LIKE '%.md' GROUP BY manifest_id, path")
 def find_file(spark, d):
-    rows = _entries(spark, d).where(F.col("path").contains("readme"))
-    return rows.groupBy("manifest_id").agg(F.min_by("entry_id", "pos").alias("entry_id"))
+    """The first entry of exactly each asked path."""
+    files = table(spark, d, "manifest_files").select("manifest_id", normal_path(F.col("path")).alias("path"), "pos", "entry_id")
+    return mf.find_first(files, files.where(F.col("path").endswith(".md")), ["manifest_id"], "entry_id")
 
 
 @query(f"""WITH {_ENT}, w AS (SELECT DISTINCT manifest_id, translate(path, 'aeiors', 'AEIORS') AS wanted FROM ent), l AS (SELECT manifest_id, path, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id, path ORDER BY pos DESC) AS nth FROM ent) WHERE nth = 1),
@@ -384,20 +406,24 @@ def find_file_tolerant(spark, d):
     return mf.find_tolerant(mf.last_wins(entries, ["manifest_id"]), wanted, ["manifest_id"]).select("manifest_id", "wanted", "path")
 
 
-_NAMES = "names AS (SELECT user_id, epoch(date_trunc('second', ts))::BIGINT::VARCHAR || '_d' || (event_id % 3)::VARCHAR || '.json.zst' AS file_name FROM events)"
+# Some names have as few digits as times before September 2001 have; a second file of one second has a suffix.
+_NAMES = """names AS (SELECT user_id, (CASE WHEN event_id % 5 = 0 THEN epoch(date_trunc('second', ts))::BIGINT - 900000000 ELSE epoch(date_trunc('second', ts))::BIGINT END)::VARCHAR
+|| '_d' || (event_id % 3)::VARCHAR || CASE WHEN event_id % 4 = 0 THEN '_0000af' ELSE '' END || '.json.zst' AS file_name FROM events)"""
 
 
 def _names(spark, d):
     seconds = F.unix_date(F.to_date("ts")).cast("bigint") * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
-    return table(spark, d, "events").select("user_id", F.concat(seconds.cast("string"), F.lit("_d"), (F.col("event_id") % 3).cast("string"), F.lit(".json.zst")).alias("file_name"))
+    seconds = F.when(F.col("event_id") % 5 == 0, seconds - 900000000).otherwise(seconds)
+    suffix = F.when(F.col("event_id") % 4 == 0, "_0000af").otherwise("")
+    return table(spark, d, "events").select("user_id", F.concat(seconds.cast("string"), F.lit("_d"), (F.col("event_id") % 3).cast("string"), suffix, F.lit(".json.zst")).alias("file_name"))
 
 
-@query(f"WITH {_NAMES} SELECT user_id, max(file_name) AS file_name FROM names GROUP BY user_id")
+@query(f"WITH {_NAMES} SELECT user_id, last(file_name ORDER BY split_part(file_name, '_', 1)::BIGINT, len(string_split(file_name, '_')), file_name) AS file_name FROM names GROUP BY user_id")
 def latest_snapshot(spark, d):
     return mf.latest(_names(spark, d).where(mf.is_manifest_name(F.col("file_name"))), ["user_id"])
 
 
-@query(f"WITH {_NAMES} SELECT user_id, split_part(file_name, '_', 1)::BIGINT AS seconds, min(file_name) AS file_name FROM names GROUP BY ALL")
+@query(f"WITH {_NAMES} SELECT user_id, split_part(file_name, '_', 1)::BIGINT AS seconds, first(file_name ORDER BY len(string_split(file_name, '_')), file_name) AS file_name FROM names GROUP BY ALL")
 def snapshot_by_second(spark, d):
     names = _names(spark, d).withColumn("seconds", mf.name_time(F.col("file_name")))
     return mf.by_second(names, ["user_id", "seconds"], F.col("seconds"))
@@ -437,21 +463,21 @@ def registry_rollup(spark, d):
 @query("""SELECT entry_id, min(CASE WHEN mtime::BIGINT > 100000000000000 THEN mtime::BIGINT WHEN mtime::BIGINT > 100000000000 THEN mtime::BIGINT * 1000 ELSE mtime::BIGINT * 1000000 END) AS micros
 FROM manifest_files WHERE regexp_full_match(mtime, '-?[0-9]{1,18}') GROUP BY entry_id""")
 def flex_time_units(spark, d):
-    n = F.col("mtime").cast("bigint")
     rows = table(spark, d, "manifest_files").where(F.col("mtime").rlike("^-?[0-9]{1,18}$"))
-    return rows.groupBy("entry_id").agg(F.min(F.when(n > 10**14, n).when(n > 10**11, n * 1000).otherwise(n * 1_000_000)).alias("micros"))
+    return rows.groupBy("entry_id").agg(F.min(number_micros(F.col("mtime"))).alias("micros"))
 
 
-_RFC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
+@query(r"""SELECT entry_id, min(CASE WHEN regexp_full_match(mtime, '-?[0-9]{1,18}') THEN strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S')
+|| rtrim(rtrim(strftime(make_timestamp(us), '.%f'), '0'), '.') || 'Z' ELSE mtime END) AS stamp FROM (SELECT entry_id, mtime, CASE WHEN n > 100000000000000 THEN n WHEN n > 100000000000 THEN n * 1000 ELSE n * 1000000 END AS us
+FROM (SELECT entry_id, mtime, try_cast(CASE WHEN regexp_full_match(mtime, '-?[0-9]{1,18}') THEN mtime END AS BIGINT) AS n FROM manifest_files)) GROUP BY entry_id""")
+def flex_time_text(spark, d):
+    return table(spark, d, "manifest_files").groupBy("entry_id").agg(F.min(flexible_text(F.col("mtime"))).alias("stamp"))
 
 
 @query(r"""SELECT entry_id, max(coalesce(CASE WHEN regexp_matches(mtime, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$') THEN
 epoch_us(try_cast(regexp_replace(mtime, '(\.\d{6})\d*', '\1') AS TIMESTAMPTZ)) END, 0)) AS micros FROM manifest_files GROUP BY entry_id""")
 def mtime_micro(spark, d):
-    """0 for what is no RFC 3339 time; a bare date is none."""
-    cut = F.regexp_replace("mtime", r"(\.\d{6})\d*", "$1")
-    micros = F.when(F.col("mtime").rlike(_RFC), F.unix_micros(F.try_to_timestamp(cut)))
-    return table(spark, d, "manifest_files").groupBy("entry_id").agg(F.max(F.coalesce(micros, F.lit(0))).alias("micros"))
+    return table(spark, d, "manifest_files").groupBy("entry_id").agg(F.max(rfc3339_micros(F.col("mtime"))).alias("micros"))
 
 
 @query("SELECT DISTINCT manifest_id, strftime(received_at, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM manifests")
@@ -535,3 +561,84 @@ def hourly_events(spark, d):
     return counted.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+# ---- more of the store and of listings ------------------------------------------------------------------------------
+
+
+@query(f"WITH {_BLOBLIST} SELECT intake_id, coalesce(regexp_full_match(content_hash, '[0-9a-f]{{64}}') AND content_hash IN (SELECT hash FROM stored), false) AS there FROM intake_files")
+def blob_exists(spark, d):
+    wanted = table(spark, d, "intake_files").select("intake_id", F.col("content_hash").alias("hash"))
+    return store.exists(wanted, _stored(spark, d)).select("intake_id", "there")
+
+
+@query("SELECT hash, mod_time, coalesce(stored_size, 0) AS stored_size FROM blobs WHERE regexp_full_match(hash, '[0-9a-f]{64}') AND starts_with(hash, 'c')")
+def blob_listing(spark, d):
+    return store.listing(table(spark, d, "blobs"), "c")
+
+
+def _text_store(spark, d) -> store.BlobStore:
+    kept = store.BlobStore(spark, scratch_path(spark, "store"), "hash string, payload binary, shard string")
+    kept.put(_documents(spark, d).where("text is not null").select(F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.col("text").cast("binary").alias("payload")))
+    return kept
+
+
+@query("SELECT 0 AS again, count(*) FILTER (h < 'a') AS kept, count(*) FILTER (h >= 'a') AS removed, coalesce(sum(n) FILTER (h < 'a'), 0)::BIGINT AS bytes FROM (SELECT DISTINCT sha256(text) AS h, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL)")
+def blob_delete(spark, d):
+    """All texts are stored; those whose hash begins with a letter are removed, twice."""
+    kept = _text_store(spark, d)
+    doomed = _documents(spark, d).where("text is not null").select(F.sha2(F.col("text").cast("binary"), 256).alias("hash")).where("hash >= 'a'")
+    removed, again = kept.delete(doomed), kept.delete(doomed)
+    return kept.rows().agg(F.count(F.lit(1)).alias("kept"), F.lit(removed).cast("bigint").alias("removed"), F.lit(again).cast("int").alias("again"), F.coalesce(F.sum(F.octet_length("payload").cast("bigint")), F.lit(0)).alias("bytes"))
+
+
+@query("SELECT sha256(text) AS hash, octet_length(encode(text)) AS bytes FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL) ORDER BY 1 LIMIT 1")
+def blob_get(spark, d):
+    """The one blob with the least hash, by a look-up in its shard."""
+    kept = _text_store(spark, d)
+    least = kept.rows().agg(F.min("hash")).first()[0]
+    return kept.get(least or "0" * 64).select(F.sha2("payload", 256).alias("hash"), F.octet_length("payload").cast("bigint").alias("bytes"))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS bytes, sha256(text) AS hash FROM documents WHERE text <> ''")
+def ordered_chunk_hash(spark, d):
+    pieces = _documents(spark, d).where("text <> ''").select("doc_id", F.posexplode(chunking.chunk_column(F.col("text"), 1024)).alias("seq", "piece"))
+    return chunking.ordered_hash(pieces, "doc_id", "seq", "piece")
+
+
+@query("SELECT DISTINCT cloud_id, manifest_id, ts, row_number() OVER (PARTITION BY cloud_id ORDER BY ts DESC NULLS LAST, manifest_id)::INT AS place FROM (SELECT DISTINCT cloud_id, manifest_id, ts FROM manifests)")
+def snapshots_newest_first(spark, d):
+    return mf.newest_first(table(spark, d, "manifests").select("cloud_id", "manifest_id", "ts").distinct(), ["cloud_id"], "ts", "manifest_id")
+
+
+@query(f"WITH {_PATHS} SELECT path FROM paths ORDER BY path LIMIT 10")
+def first_samples(spark, d):
+    """The first ten paths in their order: the sample that a report shows."""
+    return _paths(spark, d).orderBy("path").limit(10)
+
+
+@query("""SELECT count(*) FILTER (status = 'new') AS new_files, count(*) FILTER (status = 'changed') AS changed_files, count(*) FILTER (status = 'unchanged') AS unchanged_files, count(*) FILTER (status = 'error') AS failed_files,
+count(*) FILTER (status = 'locked') AS locked_files, count(*) FILTER (status = 'skipped') AS skipped_files, count(*) FILTER (status IS NULL OR status NOT IN ('new', 'changed', 'unchanged', 'error', 'locked', 'skipped')) AS other_files FROM (SELECT DISTINCT * FROM files_scan)""")
+def scan_counters(spark, d):
+    return snapshot.scan_counters(table(spark, d, "files_scan").distinct())
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL")
+def decrypt_if_encrypted(spark, d):
+    """Every kind of frame, and contents too short to be one."""
+    key, iv = F.expr(_KEY), frames.random_iv(F.col("doc_id"), small=True)
+    texts = _texts(spark, d).withColumn("iv", iv)
+    cut = F.transform(chunking.chunk_column(F.col("data"), 64), lambda p: F.struct(F.lit(0).alias("flag"), p.alias("data")))
+    ivs = lambda c: F.transform(c, lambda _, i: F.unhex(F.substring(F.sha2(F.concat(F.col("iv"), F.unhex(F.lpad(F.hex(i), 8, "0"))), 256), 1, 24)))
+    second = frames.gb2_frame(cut, ivs(cut), key)
+    kind = F.col("doc_id") % 3
+    framed = F.when(F.octet_length("data") < 4, F.col("data")).when(kind == 0, frames.small_frame(F.col("data"), key, F.col("iv"))).when(kind == 1, second).otherwise(frames.manifest_frame(F.col("data"), key, F.col("iv")))
+    return _hashed(texts.withColumn("frame", framed), frames.open_any(F.col("frame"), key, 1024))
+
+
+@query(f"WITH {_REFS} SELECT DISTINCT hash FROM refs WHERE hash IS NOT NULL")
+def alive_hashes_documents(spark, d):
+    """Manifests written as JSON files, of which only the hashes are read back."""
+    chunks = table(spark, d, "file_chunks").select("ref_id", "entry_id", "seq", "hash", "size").distinct()
+    lists = chunks.groupBy("entry_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "hash", "size"))), lambda c: F.struct(c["hash"].alias("hash"), c["size"].alias("size"))).alias("chunks"))
+    folder = scratch_path(spark, "manifest-documents")
+    mf.nested(_entries(spark, d).join(lists, "entry_id", "left"), ["manifest_id"]).select(F.to_json(F.struct(F.lit(2).alias("version"), "dirs", "stats")).alias("value")).write.text(folder)
+    return mf.alive_hashes(spark, folder)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import os
-import secrets
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.functions import frames, keys
-from siltbed.operators.chunking import CHUNK_BYTES, POLYNOMIAL
+from siltbed.operators.chunking import CHUNK_BYTES, random_polynomial
+from siltbed.sources.files import write_atomic
 
 #: Names that mark the block format in a configuration; other writers' names can be given to detect().
 FORMATS = ("blocks",)
@@ -23,10 +23,7 @@ def config_path(root: str) -> Path:
 
 
 def save_config(root: str, config: dict) -> None:
-    path = config_path(root)
-    temp = path.with_name(f".{path.name}.{secrets.token_hex(4)}")
-    temp.write_text(json.dumps(config, indent=2))
-    os.replace(temp, path)
+    write_atomic(str(config_path(root)), json.dumps(config, indent=2).encode())
 
 
 def load_config(root: str) -> dict:
@@ -54,10 +51,11 @@ def detect(root: str, formats: tuple[str, ...] = FORMATS) -> str:
 
 
 def polynomial(root: str) -> int:
-    """The repository's own polynomial for content-defined chunks; one without gets the default, which is kept."""
+    """The repository's own polynomial for content-defined chunks; one without gets a random irreducible one, which is
+    kept, so that borders tell nothing about contents to who does not know it."""
     config = load_config(root)
     if not config["cdcPolynomial"]:
-        config["cdcPolynomial"] = POLYNOMIAL
+        config["cdcPolynomial"] = random_polynomial()
         save_config(root, config)
     return config["cdcPolynomial"]
 

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from siltbed.functions import keys
+from siltbed.operators import chunking
 from siltbed.sources import repository as repo
 
 
@@ -21,7 +22,8 @@ def test_layout_and_configuration(tmp_path):
     with pytest.raises(FileExistsError):
         repo.init(root)
     assert repo.detect(root) == "blocks" and repo.load_config(root)["chunkSize"] == 77
-    assert repo.polynomial(root) == repo.POLYNOMIAL == repo.load_config(root)["cdcPolynomial"]
+    own = repo.polynomial(root)
+    assert own == repo.polynomial(root) == repo.load_config(root)["cdcPolynomial"] and own.bit_length() == 54 and chunking.is_irreducible(own)
     repo.save_config(root, {"format": "else"})
     assert repo.detect(root) == "other"
     (tmp_path / "manifests/x").write_text("")
@@ -49,3 +51,9 @@ def test_json_key():
     for bad in ("GEK\x01...", json.dumps({"key": base64.b64encode(b"short").decode()})):
         with pytest.raises(ValueError):
             keys.load_json_key(bad)
+
+
+def test_irreducible_polynomials():
+    assert chunking.is_irreducible(chunking.POLYNOMIAL) and chunking.is_irreducible(0b111) and chunking.is_irreducible(0b1011)
+    assert not any(chunking.is_irreducible(p) for p in (0b110, 0b1111, 0b1001, chunking.POLYNOMIAL ^ 2))
+    assert len({chunking.random_polynomial() for _ in range(3)}) == 3
