@@ -11,6 +11,7 @@ so most windows of a corpus are the same few, and each distinct window is scored
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -23,8 +24,11 @@ from siltbed.llm.bpe import portions, text_bytes
 from siltbed.llm.gru import Adam, BiGru, char_slots
 from siltbed.llm.words import WIDTH, Words, hash_strings, run_hashes, windows
 
-#: Most labelled documents that are used for training, the ones of least hash; the only bound, and none on scoring.
+#: Most labelled documents that are used for training, the ones of least hash. This and the next bound what comes to the
+#: driver; neither touches scoring.
 MOST_LABELLED = 6000
+#: Most distinct lines of one of them, those of least hash.
+MOST_LINES = 2000
 #: From this score on a document counts as abusive.
 THRESHOLD = 0.5
 NEUTRAL, UNKNOWN, FIRST_WORD = 1, 2, 3
@@ -122,31 +126,33 @@ class Scorer:
         return out
 
 
-def line_windows(documents: DataFrame) -> DataFrame:
-    """(doc_id, windows): the distinct windows of each text as words set apart by blanks; for the labelled sample only."""
+def text_lines(documents: DataFrame, most: int) -> DataFrame:
+    """(doc_id, lines): the distinct lines of each text as words set apart by blanks, at most ``most`` of them, those of
+    least hash; for the labelled sample only."""
 
     def work(batches):
         for part in portions(batches, "text"):
             words = Words(*text_bytes(part.column("text")))
             strings = words.strings(np.arange(len(words.starts)))
-            start, size = windows(words.line)
+            first = np.flatnonzero(np.concatenate([[True], words.line[1:] != words.line[:-1]])) if len(words.line) else np.zeros(0, np.int64)
             found: list[set[str]] = [set() for _ in range(words.texts)]
-            for s, n in zip(start.tolist(), size.tolist()):
-                found[words.text[s]].add(" ".join(strings[s : s + n]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([sorted(f) for f in found], pa.list_(pa.string()))], names=["doc_id", "windows"])
+            for s, e in zip(first.tolist(), [*first[1:].tolist(), len(strings)]):
+                found[words.text[s]].add(" ".join(strings[s:e]))
+            kept = [sorted(f if len(f) <= most else sorted(f, key=lambda line: (zlib.crc32(line.encode()), line))[:most]) for f in found]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(kept, pa.list_(pa.string()))], names=["doc_id", "lines"])
 
-    return documents.select("doc_id", "text").mapInArrow(work, "doc_id bigint, windows array<string>")
+    return documents.select("doc_id", "text").mapInArrow(work, "doc_id bigint, lines array<string>")
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[list[list[str]], list[int]]:
-    """Windows and label of up to ``most`` labelled documents. A document's raters are averaged; an undecided one, a
+    """Lines and label of up to ``most`` labelled documents. A document's raters are averaged; an undecided one, a
     null label and a label of no document are left out."""
     voted = labels.where(F.col("abusive").isNotNull()).groupBy("doc_id").agg(F.avg(F.col("abusive").cast("double")).alias("share")).where("share <> 0.5")
     chosen = voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = line_windows(texts.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "windows", "share").collect()
+    rows = text_lines(texts.select("doc_id", "text"), MOST_LINES).join(F.broadcast(chosen), "doc_id").select("doc_id", "lines", "share").collect()
     rows.sort(key=lambda r: r.doc_id)
-    return [r.windows for r in rows], [int(r.share > 0.5) for r in rows]
+    return [r.lines for r in rows], [int(r.share > 0.5) for r in rows]
 
 
 def _noise(r: np.random.Generator) -> list[tuple[str, ...]]:
@@ -165,10 +171,11 @@ def _noise(r: np.random.Generator) -> list[tuple[str, ...]]:
 
 
 def train(bags: list[list[str]], labels: list[int], seed: int = 3, rounds: int = 4, epochs: int = 4) -> Model:
-    """Fit the network to documents given as bags of windows. Without documents of both kinds every score is low."""
+    """Fit the network to documents given as bags of lines, cut into windows as scoring cuts them: after runs of neutral
+    words have become one. Without documents of both kinds every score is low."""
     positives, negatives = Counter(), Counter()
     for bag, label in zip(bags, labels):
-        (positives if label else negatives).update({w for window in bag for w in window.split()})
+        (positives if label else negatives).update({w for line in bag for w in line.split()})
     p, n = sum(labels), len(labels) - sum(labels)
     odds = {w: np.log((positives[w] + 0.3) / (p + 1)) - np.log((negatives[w] + 0.3) / (n + 1)) for w in positives | negatives}
     neutral = {w for w in odds if negatives[w] >= 2 and odds[w] < 1.0}
@@ -182,15 +189,15 @@ def train(bags: list[list[str]], labels: list[int], seed: int = 3, rounds: int =
         net.p["vo"][:] = 0
         return model
 
-    def reduced(window: str) -> tuple[str, ...]:
+    def cut(line: str) -> list[tuple[str, ...]]:
         out: list[str] = []
-        for w in window.split():
+        for w in line.split():
             w = "" if w in neutral else w
             if w or not out or out[-1]:
                 out.append(w)
-        return tuple(out[:WIDTH])
+        return [tuple(out[s : s + n]) for s, n in zip(*(x.tolist() for x in windows(np.zeros(len(out), np.int64))))]
 
-    in_bag = [sorted({reduced(w) for w in bag} - {("",)}) for bag in bags]
+    in_bag = [sorted({w for line in bag for w in cut(line)} - {("",)}) for bag in bags]
     stats: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
     for bag, label in zip(in_bag, labels):
         for window in bag:

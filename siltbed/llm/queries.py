@@ -62,19 +62,28 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_rates(p9_placed(spark, d))
 
 
+_MODELS: dict[tuple[str, str], abuse.Model] = {}
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, score); the network is trained once a session and folder of tables."""
+    documents, key = table(spark, d, "documents"), (spark.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        _MODELS[key] = abuse.train(*abuse.labelled_sample(documents, table(spark, d, "labels")))
+    return abuse.document_scores(documents, _MODELS[key])
+
+
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.abuse_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+    return _scores(spark, d)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return p10_scores(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+    return _scores(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
 
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     """Documents, abusive ones and their share per source; null sources are one group."""
-    documents = table(spark, d, "documents")
-    scored = abuse.document_scores(documents, abuse.train(*abuse.labelled_sample(documents, table(spark, d, "labels"))))
-    joined = documents.select("doc_id", "source").join(scored, "doc_id")
+    joined = table(spark, d, "documents").select("doc_id", "source").join(_scores(spark, d), "doc_id")
     hits = F.sum((F.col("score") >= abuse.THRESHOLD).cast("bigint"))
     return joined.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), hits.alias("abusive"), (hits / F.count(F.lit(1))).alias("rate"))
 
