@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.llm.bpe import NAME, TOKENIZERS, Encoder, load, portions, text_bytes
@@ -190,3 +190,19 @@ def fill_rates(placed: DataFrame) -> DataFrame:
     kinds = placed.groupBy("container_kind", "capacity", "container_id").agg(F.sum("token_count").alias("used"))
     rates = kinds.groupBy("container_kind", "capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"))
     return rates.withColumn("least", F.ceil(F.col("tokens") / F.col("capacity"))).withColumn("filled", F.col("tokens") / (F.col("containers") * F.col("capacity")))
+
+
+def broken_rules(placed: DataFrame, items: DataFrame) -> DataFrame:
+    """Per kind and capacity: documents placed, and how many containers are too full, how many hold tokens on top of each
+    other, how many documents are not placed whole, and how many were cut though they fit; all but the first must be 0.
+    ``items``: doc_id, tokens, each document once."""
+    kind = ["container_kind", "capacity"]
+    in_order = Window.partitionBy(*kind, "container_id").orderBy("position")
+    held = placed.withColumn("__clash", F.coalesce(F.col("position") < F.lag(F.col("position") + F.col("token_count")).over(in_order), F.lit(False)))
+    boxes = held.groupBy(*kind, "container_id").agg(F.sum("token_count").alias("used"), F.max("__clash").alias("clash"))
+    boxes = boxes.groupBy(*kind).agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"), F.count_if("clash").alias("overlapping"))
+    docs = placed.groupBy(*kind, "doc_id").agg(F.sum("token_count").alias("n"), F.max(F.col("token_start") + F.col("token_count")).alias("end"), F.count(F.lit(1)).alias("parts"), F.countDistinct("token_start").alias("starts"))
+    docs = docs.join(items.select("doc_id", "tokens"), "doc_id", "left")
+    whole = F.coalesce((F.col("n") == F.col("tokens")) & (F.col("end") == F.col("tokens")) & (F.col("parts") == F.col("starts")), F.lit(False))
+    docs = docs.groupBy(*kind).agg(F.count(F.lit(1)).alias("documents"), F.count_if(~whole).alias("not_whole"), F.count_if((F.col("parts") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("cut_small"))
+    return docs.join(boxes, kind)

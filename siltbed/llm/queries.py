@@ -58,6 +58,13 @@ def p9_placed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(items, _containers(spark, d), packing.partitions_for(items.count(), parallelism(spark)))
 
 
+def p9_rules(spark: SparkSession, d: str) -> DataFrame:
+    """That every token is in one container and only what is larger than a container is cut, counted over all placements."""
+    items = materialise(packing.measured(table(spark, d, "documents")), "measured")
+    placed = packing.pack(items, _containers(spark, d), packing.partitions_for(items.count(), parallelism(spark)))
+    return packing.broken_rules(materialise(placed, "placed"), items)
+
+
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_rates(p9_placed(spark, d))
 
@@ -88,7 +95,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), hits.alias("abusive"), (hits / F.count(F.lit(1))).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_rate, p4_size, p5_found, p8_ids, p9_placed, p9_rates, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_rate, p4_size, p5_found, p8_ids, p9_placed, p9_rules, p9_rates, p10_found, p10_scores, p10_rates)}
 
 ORACLE = {
     "p4_found": """
@@ -102,6 +109,8 @@ p AS (SELECT bits, hash, hash IN (SELECT hash FROM k) AS held, row_number() OVER
   OR EXISTS (SELECT 1 FROM (SELECT DISTINCT bits AS b, substr(hash, 1, bits // 4) AS print FROM k, w) s WHERE s.b = bits AND s.print = substr(hash, 1, bits // 4)) AS hit FROM f, w)
 SELECT count(*) AS keys, count(*) FILTER (held) AS seen, count(*) FILTER (hit AND NOT held) AS wrong,
   coalesce(count(*) FILTER (hit AND NOT held) / nullif(count(*) FILTER (NOT held), 0), 0) AS wrong_rate, bits FROM p GROUP BY bits""",
+    "p9_rules": """
+SELECT container_kind, capacity, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0::BIGINT AS overfull, 0::BIGINT AS overlapping, 0::BIGINT AS not_whole, 0::BIGINT AS cut_small FROM (SELECT DISTINCT container_kind, capacity FROM container_sizes)""",
     "p5_found": """
 WITH c AS (SELECT DISTINCT intake_id, unnest(chunks).hash AS h FROM intake_files), n AS (SELECT intake_id, count(h) AS n FROM c WHERE h IS NOT NULL GROUP BY 1),
 near AS (SELECT a.intake_id AS earlier_id, b.intake_id FROM c a JOIN c b ON a.h = b.h AND a.intake_id < b.intake_id GROUP BY 1, 2
