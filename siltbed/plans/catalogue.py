@@ -642,3 +642,15 @@ def alive_hashes_documents(spark, d):
     folder = scratch_path(spark, "manifest-documents")
     mf.nested(_entries(spark, d).join(lists, "entry_id", "left"), ["manifest_id"]).select(F.to_json(F.struct(F.lit(2).alias("version"), "dirs", "stats")).alias("value")).write.text(folder)
     return mf.alive_hashes(spark, folder)
+
+
+@query(f"""WITH RECURSIVE {_ENT}, own AS (SELECT DISTINCT manifest_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM ent UNION SELECT DISTINCT manifest_id, 'bare/' || manifest_id::VARCHAR FROM ent),
+up(manifest_id, dir) AS (SELECT manifest_id, dir FROM own UNION SELECT manifest_id, regexp_extract(dir, '^(.*)/[^/]*$', 1) FROM up WHERE dir <> '')
+SELECT manifest_id, folders, files, bytes FROM (SELECT manifest_id, count(*) AS folders FROM up GROUP BY 1) JOIN (SELECT manifest_id, count(*) AS files, sum(size)::BIGINT AS bytes FROM ent GROUP BY 1) USING (manifest_id)""")
+def manifest_v1_folders(spark, d):
+    """Documents of the first version with an empty directory each, brought to the second: directories and counters."""
+    flat = _entries(spark, d).groupBy("manifest_id").agg(F.collect_list(F.struct("path", F.col("content_hash").alias("contentHash"), "size")).alias("files"))
+    bare = F.concat(F.lit("bare/"), F.col("manifest_id").cast("string"))
+    documents = flat.select("manifest_id", F.to_json(F.struct(F.lit(1).alias("version"), "files", F.array(F.struct(bare.alias("relPath"), F.lit("x").alias("name"))).alias("emptyDirs"))).alias("doc"))
+    moved = mf.migrated(mf.parsed(documents, "doc"), ["manifest_id"])
+    return moved.select("manifest_id", F.size("dirs").cast("bigint").alias("folders"), F.col("stats.fileCount").alias("files"), F.col("stats.totalSize").alias("bytes"))

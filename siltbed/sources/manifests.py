@@ -61,14 +61,17 @@ def last_wins(files: DataFrame, key: list[str]) -> DataFrame:
     return files.withColumn("__n", nth).where("__n = 1").drop("__n")
 
 
-def folder_rows(entries: DataFrame, key: list[str] = ()) -> DataFrame:
+def folder_rows(entries: DataFrame, key: list[str] = (), empty: DataFrame | None = None) -> DataFrame:
     """key, dir, files, subdirs, n, bytes: entries (path, content_hash, size, mtime, mode, status and, where there are any,
-    chunks) folded into their directories; every ancestor is there, with its child directories, the root as ''."""
+    chunks) folded into their directories; every ancestor is there, with its child directories, the root as ''. ``empty``
+    (key, dir): directories without a file."""
     chunks = F.col("chunks") if "chunks" in entries.columns else F.lit(None)
     file = F.struct(base_name(F.col("path")).alias("name"), F.col("content_hash").alias("contentHash"), "size", "mtime", "mode", "status", chunks.cast(CHUNKS).alias("chunks"))
     held = entries.select(*key, dir_name(F.col("path")).alias("dir"), file.alias("file")).groupBy(*key, "dir").agg(F.array_sort(F.collect_list("file")).alias("files"), F.count(F.lit(1)).alias("n"), F.sum("file.size").alias("bytes"))
     # Ancestors of directories, not of files: there are far fewer.
-    every = held.select(*key, F.explode(F.array_append(ancestors(F.col("dir")), F.col("dir"))).alias("dir")).distinct()
+    own = held.select(*key, "dir")
+    own = own if empty is None else own.unionByName(empty.select(*key, "dir"))
+    every = own.select(*key, F.explode(F.array_append(F.when(F.col("dir") == "", F.array()).otherwise(ancestors(F.col("dir"))), F.col("dir"))).alias("dir")).distinct()
     inner = every.where("dir <> ''").groupBy(*key, dir_name(F.col("dir")).alias("dir")).agg(F.array_sort(F.collect_list(base_name(F.col("dir")))).alias("subdirs"))
     joined = every.join(held, [*key, "dir"], "left").join(inner, [*key, "dir"], "left")
     none = lambda kind: F.array().cast(kind)
@@ -81,10 +84,19 @@ def folder_documents(entries: DataFrame) -> DataFrame:
     return folder_rows(entries).select("dir", F.to_json(F.struct("files", "subdirs")).alias("body")).orderBy("dir")
 
 
-def nested(entries: DataFrame, key: list[str], counters: DataFrame | None = None) -> DataFrame:
+def migrated(manifests: DataFrame, key: list[str]) -> DataFrame:
+    """key, version, dirs, stats of documents of the first version in the form of the second: the flat list becomes
+    directories, its empty directories come along, and the counters are counted again."""
+    old = manifests.where("coalesce(version, 0) < 2")
+    rows = old.select(*key, F.explode("files").alias("f")).select(*key, F.regexp_replace("f.path", "^/", "").alias("path"), F.col("f.contentHash").alias("content_hash"), "f.size", "f.mtime", "f.mode", "f.status", "f.chunks")
+    bare = old.select(*key, F.explode("emptyDirs").alias("e")).select(*key, F.regexp_replace("e.relPath", "^/", "").alias("dir"))
+    return nested(rows, key, empty=bare).withColumn("version", F.lit(2))
+
+
+def nested(entries: DataFrame, key: list[str], counters: DataFrame | None = None, empty: DataFrame | None = None) -> DataFrame:
     """key, dirs, stats: whole documents, one a row, so for manifests that fit one; ``write_manifest`` writes any other.
     ``counters``: key, newFiles, changedFiles, unchangedFiles, newBytes, or counted by status."""
-    folders = folder_rows(entries, key)
+    folders = folder_rows(entries, key, empty)
     whole = folders.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("dir", F.struct("files", "subdirs")))).alias("dirs"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
     if counters is None:
         of = lambda s: F.count_if(F.col("status") == s)
