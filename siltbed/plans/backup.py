@@ -30,6 +30,7 @@ from siltbed.operators import chunking, snapshot, store
 from siltbed.session import broadcast_if_small, materialise, ship
 from siltbed.sources import manifests
 from siltbed.sources.files import create_atomic
+from siltbed.sources.sealed import opened_pieces
 from siltbed.sources.tree import TreeSource, is_lock_error, open_with_retry
 
 ENTRY = "path string, content_hash string, size bigint, mtime string, mode int, status string, chunks array<struct<hash:string,size:bigint>>"
@@ -208,22 +209,9 @@ def _existing(entries: DataFrame, target: str) -> DataFrame:
     return entries.select("path", "safe").mapInArrow(look, "path string, there boolean")
 
 
-def restore(repo: Repository, source: str, target: str, seconds: int | None = None, overwrite: bool = False) -> dict:
-    """Write a snapshot's files below ``target``. Every path is validated before anything is written; existing files
-    stay unless ``overwrite``; rows that were not stored are skipped. A file is written piece by piece, checked against
-    its hash and only then given its name; a missing or damaged blob of the snapshot is an error, one of another is not
-    looked at."""
-    entries = repo.entries(source, seconds).withColumn("safe", safe_relative(F.col("path")))
-    unsafe = entries.where(F.col("safe").isNull()).limit(1).collect()
-    if unsafe:
-        raise ValueError(f"unsafe path {unsafe[0].path!r}")
-    wanted = entries.where(store.RESTORABLE)
-    there = materialise(_existing(wanted, target), "there")
-    todo = wanted if overwrite else wanted.join(there.where("there").select("path"), "path", "left_anti")
-    parts = materialise(store.restore_parts(todo).join(todo.select("path", "safe", "mode", "content_hash"), "path"), "parts")
-    pieces = parts.join(opened_blobs(repo, parts), "hash", "left")
-    lost = F.raise_error(F.concat(F.lit("missing blob "), "hash"))
-    pieces = pieces.withColumn("payload", F.when(F.col("payload").isNull(), lost).otherwise(F.col("payload")))
+def write_files(pieces: DataFrame, target: str) -> DataFrame:
+    """Write pieces (safe, seq, payload, mode, content_hash) below ``target``, each file by one task in the order of seq;
+    gives the path of each. A file is checked against its hash, where it has one, before it gets its name."""
     ordered = pieces.select("safe", "seq", "payload", "mode", "content_hash").repartition("safe").sortWithinPartitions("safe", "seq")
 
     def write(batches):
@@ -232,7 +220,7 @@ def restore(repo: Repository, source: str, target: str, seconds: int | None = No
         def close():
             path, temp, handle, whole, mode, expected = open_
             handle.close()
-            if whole.hexdigest() != expected:
+            if expected is not None and whole.hexdigest() != expected:
                 os.unlink(temp)
                 raise ValueError(f"damaged file {path}")
             if mode:
@@ -255,6 +243,34 @@ def restore(repo: Repository, source: str, target: str, seconds: int | None = No
         if open_ is not None:
             yield close()
 
-    restored = ordered.mapInArrow(write, "path string").count()
+    return ordered.mapInArrow(write, "path string")
+
+
+def decrypt_files(files: DataFrame, key: bytes, target: str, piece: int = chunking.CHUNK_BYTES) -> int:
+    """Open sealed files (path, abs_path) of any size below ``target``; how many. An unsafe path is an error."""
+    named = files.withColumn("safe", safe_relative(F.col("path")))
+    if unsafe := named.where(F.col("safe").isNull()).limit(1).collect():
+        raise ValueError(f"unsafe path {unsafe[0].path!r}")
+    pieces = opened_pieces(files, key, piece).join(named.select("path", "safe"), "path")
+    return write_files(pieces.withColumns({"mode": F.lit(None).cast("int"), "content_hash": F.lit(None).cast("string")}), target).count()
+
+
+def restore(repo: Repository, source: str, target: str, seconds: int | None = None, overwrite: bool = False) -> dict:
+    """Write a snapshot's files below ``target``. Every path is validated before anything is written; existing files
+    stay unless ``overwrite``; rows that were not stored are skipped. A file is written piece by piece, checked against
+    its hash and only then given its name; a missing or damaged blob of the snapshot is an error, one of another is not
+    looked at."""
+    entries = repo.entries(source, seconds).withColumn("safe", safe_relative(F.col("path")))
+    unsafe = entries.where(F.col("safe").isNull()).limit(1).collect()
+    if unsafe:
+        raise ValueError(f"unsafe path {unsafe[0].path!r}")
+    wanted = entries.where(store.RESTORABLE)
+    there = materialise(_existing(wanted, target), "there")
+    todo = wanted if overwrite else wanted.join(there.where("there").select("path"), "path", "left_anti")
+    parts = materialise(store.restore_parts(todo).join(todo.select("path", "safe", "mode", "content_hash"), "path"), "parts")
+    pieces = parts.join(opened_blobs(repo, parts), "hash", "left")
+    lost = F.raise_error(F.concat(F.lit("missing blob "), "hash"))
+    pieces = pieces.withColumn("payload", F.when(F.col("payload").isNull(), lost).otherwise(F.col("payload")))
+    restored = write_files(pieces, target).count()
     existing = 0 if overwrite else there.where("there").count()
     return {"restored": restored, "existing": existing, "skipped": entries.count() - restored - existing}

@@ -5,8 +5,9 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from siltbed.operators import store
-from siltbed.plans.backup import Repository, backup, restore
+from siltbed.functions import frames
+from siltbed.operators import chunking, store
+from siltbed.plans.backup import Repository, backup, decrypt_files, restore
 from siltbed.sources import manifests as mf
 
 
@@ -146,3 +147,25 @@ def test_a_shard_larger_than_a_file(spark, tmp_path, monkeypatch):
     doomed = spark.createDataFrame([(data[0][0],), (data[1][0],), ("bad",), (None,)], "hash string")
     assert (kept.delete(doomed), kept.delete(doomed), kept.rows().count()) == (2, 0, 38)
     assert {r.there for r in kept.exists(doomed).collect()} == {False}
+
+
+def test_sealed_files_open_as_streams(spark, tmp_path):
+    key, lit = b"k" * 32, F.lit(b"k" * 32)
+    df = spark.createDataFrame([("small", bytearray(b"abc")), ("large", bytearray(bytes(range(250)))), ("d/second", bytearray(b"z" * 250 + b"y"))], "path string, data binary")
+    pieces = chunking.chunk_column(F.col("data"), 100)
+    ivs = F.transform(pieces, lambda p, i: F.unhex(F.substring(F.sha2(F.concat(p, F.hex(i).cast("binary")), 256), 9, 24)))
+    flagged = frames.gb2_pieces(F.col("data"), 100, 50)
+    framed = df.select("path", "data", F.when(F.col("path") == "small", frames.small_frame(F.col("data"), lit, frames.random_iv(F.col("path"), small=True)))
+                       .when(F.col("path") == "large", frames.large_frame(pieces, ivs, lit)).otherwise(frames.gb2_frame(flagged, ivs, lit)).alias("frame")).collect()
+    for r in framed:
+        (tmp_path / r.path.replace("/", "_")).write_bytes(bytes(r.frame))
+    files = spark.createDataFrame([(r.path, str(tmp_path / r.path.replace("/", "_"))) for r in framed], "path string, abs_path string")
+    assert decrypt_files(files, key, str(tmp_path / "out"), 100) == 3
+    assert _restored(tmp_path / "out") == {r.path: bytes(r.data) for r in framed}
+    with pytest.raises(Exception, match="does not open"):
+        decrypt_files(files, b"x" * 32, str(tmp_path / "out2"), 100)
+    cut = tmp_path / "large"
+    cut.write_bytes(cut.read_bytes()[:150])
+    with pytest.raises(Exception, match="ends within a piece|does not open"):
+        decrypt_files(files.where("path = 'large'"), key, str(tmp_path / "out3"), 100)
+    assert not [p for p in tmp_path.rglob("out3/*") if p.name == "large"]
