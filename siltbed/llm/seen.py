@@ -2,7 +2,7 @@
 
 Keys are 64 lower-case hex digits. A partition holds the keys that share the leading hex digits; within it the
 following bits are a fingerprint. The sorted fingerprints are Elias-Fano coded; the bytes of each key that neither the
-partition nor the code tells lie beside them in the same order, in a column that only the exact check reads. A probe is
+partition nor the code tells lie beside them in the same order, for the exact check. A probe is
 a successor search; a hit on the fingerprint alone may be wrong, with the probability that ``wrong_rate`` measures.
 
 The number of leading digits and the bits of the fingerprint are kept with each partition; a store that outgrows them is
