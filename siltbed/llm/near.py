@@ -15,10 +15,11 @@ share one of these. So no pair is lost, whichever blocks are left out.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltbed.commits import Commits
@@ -112,10 +113,11 @@ def block_tables(sets: DataFrame, hot: np.ndarray, epoch: int = 0) -> DataFrame:
     return sets.where(F.size("elements") > 2).select("cid", "elements").mapInArrow(work, SIGNATURES)
 
 
-def hot_elements(sets: DataFrame) -> np.ndarray:
-    """Frequent elements, sorted; at most ``HOT_SHARE`` of them by their definition."""
+def hot_elements(sets: DataFrame, total: int | None = None) -> np.ndarray:
+    """Frequent elements, sorted; at most ``HOT_SHARE`` of them by their definition. ``total``: elements of all sets,
+    where ``sets`` are only some."""
     counts = sets.select(F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
-    total = sets.agg(F.coalesce(F.sum(F.size("elements")), F.lit(0))).first()[0]
+    total = sets.agg(F.coalesce(F.sum(F.size("elements")), F.lit(0))).first()[0] if total is None else total
     frequent = counts.where(F.col("n") > max(HOT_LEAST, total // HOT_SHARE)).select("e").collect()
     return np.sort(np.array([r[0] for r in frequent], np.int64).view(np.uint64))
 
@@ -144,23 +146,26 @@ def _close(a: str, b: str):
 
 def earliest_similar(sets: DataFrame, table: DataFrame) -> DataFrame:
     """(late, early): for each fresh set the smallest cid of an earlier similar one, where there is one. ``table``: block
-    tables with ``fresh``; sets that are not fresh are never paired among themselves.
+    tables with ``fresh`` and ``leads``, that a row may be the earlier one; sets that are not fresh are never paired
+    among themselves, and no set that only looks up under a former epoch with another one of these.
 
-    Buckets of one block value with up to ``ANCHORS`` sets are paired in full. A larger one is worked off in rounds:
+    Buckets of one block value with up to ``ANCHORS`` leading sets are paired in full. A larger one is worked off in rounds:
     all of its sets against its ``ANCHORS`` earliest, then those that match none of them against the next ones, until
     none is left; a set that matches an anchor needs no later one, for those have greater ids. So the pairs stay in
     proportion to the bucket for families of copies, and nothing is capped.
     """
-    columns = ["sig", "cid", "n", "parity", "fresh"]
-    sizes = table.groupBy("sig").agg(F.countDistinct("cid").alias("in_bucket"), F.max("fresh").alias("__asked")).where("in_bucket > 1 and __asked").drop("__asked")
-    shared = materialise(table.dropDuplicates(["sig", "cid"]).join(sizes, "sig"), "buckets")
+    columns = ["sig", "cid", "n", "parity"]
+    rows = table.dropDuplicates(["sig", "cid"])
+    sizes = rows.groupBy("sig").agg(F.count_if("leads").alias("in_bucket"), F.count(F.lit(1)).alias("__all"), F.max("fresh").alias("__asked"))
+    sizes = sizes.where("in_bucket > 0 and __all > 1 and __asked").select("sig", "in_bucket")
+    shared = materialise(rows.join(sizes, "sig"), "buckets")
     small = shared.where(F.col("in_bucket") <= ANCHORS)
-    a, b = small.alias("a"), small.where("fresh").alias("b")
+    a, b = small.where("leads").alias("a"), small.where("fresh").alias("b")
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.cid") < F.col("b.cid"))).where(_close("a", "b"))
     found = _similar(pairs.select(F.col("a.cid").alias("early"), F.col("b.cid").alias("late")).distinct(), sets).groupBy("late").agg(F.min("early").alias("early"))
 
-    pool = shared.where(F.col("in_bucket") > ANCHORS).select(*columns)
-    pending = pool.where("fresh")
+    large = shared.where(F.col("in_bucket") > ANCHORS)
+    pool, pending = large.where("leads").select(*columns), large.where("fresh").select(*columns)
     while pending.take(1):
         anchors = materialise(_earliest(pool), "anchors")
         x, y = anchors.alias("x"), pending.alias("y")
@@ -202,8 +207,9 @@ class History:
     appended with its answers in one commit, so a batch that died has left nothing.
 
     Which elements are called frequent is fixed for an epoch; when the history has grown ``GROWTH`` times since, the
-    next batch begins a new one. A set is stored under its own epoch and looks up under every one, so two sets always
-    meet in the epoch of the earlier one; there are logarithmically many.
+    next batch begins a new one, and so does a batch that alone holds so many sets of some other element that it is
+    frequent now. A set is stored under its own epoch and looks up under every one, so two sets always meet in the epoch
+    of the earlier one; there are logarithmically many, and one for each batch that brings frequent elements of its own.
     """
 
     SETS = "key binary, cid bigint, elements array<bigint>, hashes array<binary>"
@@ -242,16 +248,22 @@ class History:
         known = materialise(new.join(sets.select("key", F.col("cid").alias("first")), "key", "left"), "batch-sets")
         fresh = known.where("first is null").drop("first")
 
-        epochs, total = content.get("epochs", []), content.get("sets", 0) + fresh.count()
+        count, width = fresh.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("elements")), F.lit(0))).first()
+        epochs, total, held = content.get("epochs", []), content.get("sets", 0) + count, content.get("elements", 0) + width
         if not epochs or total > GROWTH * epochs[-1]["sets"]:
             elements = sets.select("elements").unionByName(fresh.select("elements"))
             epochs = [*epochs, {"sets": total, "hot": hot_elements(elements).view(np.int64).tolist()}]
+        else:
+            hot = np.union1d(np.array(epochs[-1]["hot"], np.int64).view(np.uint64), hot_elements(fresh, held))
+            if len(hot) > len(epochs[-1]["hot"]):
+                epochs = [*epochs, {"sets": epochs[-1]["sets"], "hot": hot.view(np.int64).tolist()}]
         signed = [block_tables(fresh, np.array(e["hot"], np.int64).view(np.uint64), k) for k, e in enumerate(epochs)]
         signed[-1].write.parquet(f"{data}/blocks")
         own = self.spark.read.parquet(f"{data}/blocks")
-        asked = materialise(reduce(DataFrame.unionByName, [*signed[:-1], own]), "asked") if len(signed) > 1 else own
+        own = own.withColumn("leads", F.lit(True))
+        asked = materialise(reduce(DataFrame.unionByName, [*(s.withColumn("leads", F.lit(False)) for s in signed[:-1]), own]), "asked") if len(signed) > 1 else own
         met = self._table(content, "blocks", self.BLOCKS).join(broadcast_if_small(asked.select("sig").distinct()), "sig", "left_semi")
-        table = met.withColumn("fresh", F.lit(False)).unionByName(asked.withColumn("fresh", F.lit(True)))
+        table = met.withColumns({"leads": F.lit(True), "fresh": F.lit(False)}).unionByName(asked.withColumn("fresh", F.lit(True)))
         columns = ["cid", "elements", "hashes"]
         near = earliest_similar(sets.select(*columns).unionByName(fresh.select(*columns)), table)
         near.select("late", "early").write.parquet(f"{data}/links")
@@ -268,17 +280,18 @@ class History:
         answers.write.parquet(f"{data}/answers")
         mine.where("__before is null").select("content_hash", "by_content").write.parquet(f"{data}/contents")
         fresh.select("key", "cid", "elements", "hashes").write.option("compression", "zstd").parquet(f"{data}/sets")
-        return {"epochs": epochs, "sets": total}
+        return {"epochs": epochs, "sets": total, "elements": held}
 
 
 def earliest_matches(files: DataFrame, batch: str | None = None, deliveries: int = 1, folder: str | None = None) -> DataFrame:
     """(intake_id, earlier_id): for each file the smallest earlier intake_id with an equal content_hash or a similar
     set of chunks, where there is one. The files go through a history (at ``folder``, else for this run only) in
-    ``deliveries`` of equally many numbers of the column ``batch``, or at once.
+    ``deliveries`` of equally many numbers of the column ``batch``, or at once. Where these numbers run against the
+    intake_ids, a delivery is as many files as the next one, by intake_id.
 
     Equal sets are one class, so copies never meet in pairs; near-duplicates are found between classes. Null content
-    hashes match nothing, and files without chunks match by content only. Batches must follow each other by intake_id;
-    files without a batch number come with the last.
+    hashes match nothing, and files without chunks match by content only. Files without a batch number come with the
+    last; earlier is what has the smaller intake_id, whatever the batch numbers say.
     """
     spark = files.sparkSession
     history = History(spark, folder or scratch_path(spark, "history"))
@@ -288,7 +301,11 @@ def earliest_matches(files: DataFrame, batch: str | None = None, deliveries: int
     lo, hi = files.agg(F.min(batch), F.max(batch)).first()
     if lo is None:
         lo = hi = 0
-    turn = F.coalesce(F.floor((F.col(batch) - lo) * deliveries / (hi - lo + 1)), F.lit(deliveries - 1))
+    turn, arrival = F.coalesce(F.floor((F.col(batch).cast("bigint") - lo) * deliveries / (hi - lo + 1)), F.lit(deliveries - 1)), F.col("intake_id").cast("bigint")
+    spans = files.groupBy(turn.alias("turn")).agg(F.min(arrival).alias("first"), F.max(arrival).alias("last")).where("first is not null").orderBy("turn").collect()
+    if any(after["first"] <= before["last"] for before, after in pairwise(spans)):
+        cuts = files.agg(F.percentile_approx(arrival, [k / deliveries for k in range(1, deliveries)])).first()[0]
+        turn = reduce(Column.__add__, [(arrival > cut).cast("int") for cut in cuts])
     for k in range(deliveries):
         history.take(files.where(turn == k))
     return history.answers()

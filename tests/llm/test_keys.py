@@ -252,6 +252,33 @@ def test_history_in_batches(spark, tmp_path, monkeypatch):
     assert history.take(spark.createDataFrame([], INTAKE)).count() == 0 and history.log.sweep() == 1
 
 
+@pytest.mark.parametrize("numbers", ["copies", "backwards", "missing"])
+def test_batch_numbers_that_run_against_the_ids(spark, monkeypatch, numbers):
+    """Batches 1 to 6 come once more with every copy of the table, backwards, or early files have no number."""
+    number = {"copies": lambda i: 1 + i // 10 % 6, "backwards": lambda i: 20 - i // 10, "missing": lambda i: None if i < 5 else 1 + i // 10}[numbers]
+    files = [(i, number(i), content, chunks) for i, _, content, chunks in family(random.Random(6), 180)]
+    taken, plain = [], near.History.take
+    monkeypatch.setattr(near.History, "take", lambda self, batch: taken.append(batch.count()) or plain(self, batch))
+    got = near.earliest_matches(spark.createDataFrame(files, INTAKE), "batch_no", 3)
+    assert {(r.intake_id, r.earlier_id) for r in got.collect()} == brute(files)
+    assert sum(taken) == 180 and len(taken) == 3 and min(taken) > 50
+
+
+def test_elements_that_become_frequent_later_make_no_rounds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(near, "HOT_LEAST", 20)
+    monkeypatch.setattr(near, "ANCHORS", 5)
+    sets = [[f"{k}-{i}" for k in "abc"] + ["late"] * (i > 60 or i == 30) for i in range(1, 161)]
+    sets += [[*sets[29], "x"], [*sets[99], "y"], [*sets[99], "z"]]
+    files = [(i, 1, None, [(h, 1) for h in chunks]) for i, chunks in enumerate(sets, 1)]
+    calls, plain = [], near._similar
+    monkeypatch.setattr(near, "_similar", lambda *a: calls.append(1) or plain(*a))
+    history = near.History(spark, f"file://{tmp_path}/history")
+    for start, end in ((0, 60), (60, 160), (160, 163)):
+        history.take(spark.createDataFrame(files[start:end], INTAKE))
+    assert {tuple(r) for r in history.answers().collect()} == brute(files) == {(161, 30), (162, 100), (163, 100)}
+    assert len(history.log.latest()[1]["epochs"]) == 2 and len(calls) == 3
+
+
 @pytest.mark.parametrize("anchors", [64, 2])
 def test_history_pairs_no_old_sets_with_old_ones(spark, tmp_path, monkeypatch, anchors):
     monkeypatch.setattr(near, "ANCHORS", anchors)
